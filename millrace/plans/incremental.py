@@ -6,11 +6,11 @@ from dataclasses import asdict, dataclass, replace
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..columns import col
 from ..errors import SpecError
+from ..session import path_exists
 from ..types import BOOLEAN, DATE, DATETIME, FLOAT, INTEGER, STRING, logical_type
 
 CursorValue = int | float | str | bool | date | datetime | Decimal | None
@@ -123,12 +123,9 @@ class StateStore:
         self.path = path.rstrip("/")
 
     def load(self, pipeline: str, stream: str) -> State:
-        try:
-            saved = self.spark.read.schema(_STATE_SCHEMA).json(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, self.path):
             return State(pipeline, stream)
+        saved = self.spark.read.schema(_STATE_SCHEMA).json(self.path)
         mine = saved.where((col("pipeline") == pipeline) & (col("stream") == stream))
         latest = mine.orderBy(F.col("run").desc(), F.col("updated_at").desc()).limit(1).first()
         return State(**latest.asDict()) if latest else State(pipeline, stream)

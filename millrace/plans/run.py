@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..errors import SpecError
 from ..operators.registry import apply_step, resolve_chain
@@ -25,7 +25,10 @@ from ..sources.vendor import mongo_predicate, read_vendor
 from .incremental import State, StateStore, after_cursor, after_cursor_lenient, next_cursor, parse_cursor, sync_plan
 from .spec import DATABASES, VENDORS, RunSpec
 
-_ROWS = F.count(F.lit(1)).alias("rows")
+
+def _rows() -> Column:
+    return F.count(F.lit(1)).alias("rows")
+
 
 
 @dataclass(frozen=True)
@@ -198,7 +201,7 @@ def run(
     def watched(df: DataFrame, kind: str, name: str, *extra) -> DataFrame:
         observation = Observation(f"{run_id}-{len(seen)}")
         seen.append((kind, name, observation))
-        return df.observe(observation, _ROWS, *extra)
+        return df.observe(observation, _rows(), *extra)
 
     try:
         df = from_cursor(read_source(spark, spec.source), spec, state)
@@ -214,7 +217,7 @@ def run(
         if checks:
             df, rejects = split_rejects(df, checks.get("not_null", ()), checks.get("checks"))
             rejected = Observation(f"{run_id}-rejects")
-            write_files(rejects.observe(rejected, _ROWS), checks["path"], "parquet", "append")
+            write_files(rejects.observe(rejected, _rows()), checks["path"], "parquet", "append")
             failed = int(rejected.get["rows"])
             # both passes go through the steps above, so either one answers their observations
         df = watched(df, "load", spec.destination["type"])

@@ -6,12 +6,12 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .columns import col
 from .errors import SpecError
 from .plans.run import RunResult
+from .session import path_exists
 
 # Job statuses, and the ones that end a job.
 JOB_STATUSES = ("pending", "running", "success", "failed", "cancelled")
@@ -36,12 +36,10 @@ class RunLog:
         self.path = path.rstrip("/")
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        path = f"{self.path}/{name}"
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def runs(self) -> DataFrame:
         return self._table("runs", RUNS)
@@ -174,7 +172,7 @@ def failure_alerts(jobs: DataFrame, rules: Sequence[Mapping[str, object]]) -> Da
     inside the plan and each failed job expands in place: no join, no shuffle.
     """
     wanted = [r for r in rules if r.get("enabled", True) and r.get("alert_type") == "job_failure"]
-    rule_type = T.ArrayType(T.StructType().add("id", "bigint").add("delivery_method", "string").add("recipient", "string"))
+    rule_type = T.ArrayType(T.StructType().add("id", T.LongType()).add("delivery_method", "string").add("recipient", "string"))
     listed = [{k: r[k] for k in ("id", "delivery_method", "recipient")} for r in wanted]
     rule = F.explode(F.from_json(F.lit(json.dumps(listed)), rule_type))
     failed = jobs.where(F.col("status") == "failed").select("id", "pipeline_id", "error_message", rule.alias("rule"))
