@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -24,6 +25,7 @@ class _Value:
     column: Column
     type: T.DataType
     field: bool = False  # a plain field: NULL is the value None, not an error
+    literal: bool = False
 
     def truth(self) -> Column:
         test = truthy(self.column, self.type)
@@ -88,7 +90,7 @@ def _power(a: _Value, b: _Value, exponent: object) -> _Value:
         return _Value(result, T.LongType())
     base, power = _as_double(a), _as_double(b)
     result = F.pow(base, power)
-    undefined = ((base == 0) & (power < 0)) | F.isnan(result) | (
+    undefined = ((base == 0) & (power < 0)) | (F.isnan(result) & ~F.isnan(base) & ~F.isnan(power)) | (
         (F.abs(result) == float("inf")) & (F.abs(base) != float("inf")) & (F.abs(power) != float("inf"))
     )
     return _Value(F.when(~undefined, result), T.DoubleType())
@@ -135,12 +137,18 @@ def _same_family(left: _Value, right: _Value) -> bool:
     return type(left.type) is type(right.type)
 
 
-def _comparable(left: _Value, right: _Value) -> tuple[Column, Column, Column | None]:
-    """Both columns on one type, and a test for NaN operands."""
+def _comparable(left: _Value, right: _Value) -> tuple[Column, Column]:
+    """Both columns on one type."""
     if _is(left, T.DoubleType) or _is(right, T.DoubleType):
-        a, b = _as_double(left), _as_double(right)
-        return a, b, F.coalesce(F.isnan(a) | F.isnan(b), F.lit(False))
-    return _as_number(left).column, _as_number(right).column, None
+        return _as_double(left), _as_double(right)
+    return _as_number(left).column, _as_number(right).column
+
+
+def _unless_nan(test: Column, value: _Value) -> Column:
+    """False where ``value`` is NaN: Python's NaN equals and orders with nothing, Spark's is the greatest number."""
+    if not _is(value, T.DoubleType) or value.literal:
+        return test
+    return test & ~F.isnan(value.column)
 
 
 def _equal(left: _Value, right: _Value) -> Column:
@@ -148,14 +156,14 @@ def _equal(left: _Value, right: _Value) -> Column:
         if _is(one, T.NullType):
             return other.column.isNull() if other.field or _is(other, T.NullType) else F.lit(False)
     if not _same_family(left, right):
-        result = F.lit(False)
+        result = left.column.isNull() & right.column.isNull()  # None equals None whatever the columns hold
     else:
-        a, b, nan = _comparable(left, right)
+        a, b = _comparable(left, right)
         result = a.eqNullSafe(b)
-        if nan is not None:
-            result = result & ~nan
+        if not left.literal and not right.literal:
+            result = _unless_nan(_unless_nan(result, left), right)
     for value in (left, right):
-        if not value.field:
+        if not value.field and not value.literal:
             result = F.when(value.column.isNotNull(), result)
     return result
 
@@ -184,16 +192,13 @@ class _Compiler(ast.NodeVisitor):
     def generic_visit(self, node):
         raise SpecError(f"{type(node).__name__} is not supported in expressions")
 
-    def visit_Expression(self, node):
-        return self.visit(node.body)
-
     def visit_Constant(self, node):
         value = node.value
         if value is None:
             return _Value(F.lit(None), T.NullType(), field=True)
         for python_type, spark in ((bool, T.BooleanType()), (int, T.LongType()), (float, T.DoubleType()), (str, T.StringType())):
             if type(value) is python_type:
-                return _Value(F.lit(value).cast(spark), spark)
+                return _Value(F.lit(value).cast(spark), spark, literal=True)
         raise SpecError(f"literal {value!r} is not supported in expressions")
 
     def visit_Name(self, node):
@@ -277,9 +282,8 @@ class _Compiler(ast.NodeVisitor):
             return ~_equal(left, right)
         if _is(left, T.NullType) or _is(right, T.NullType) or not _same_family(left, right):
             return F.lit(None).cast("boolean")
-        a, b, nan = _comparable(left, right)
-        result = _ORDERINGS[type(op)](a, b)
-        return result if nan is None else F.when(nan, F.lit(False)).otherwise(result)
+        greater = left if isinstance(op, (ast.Gt, ast.GtE)) else right
+        return _unless_nan(_ORDERINGS[type(op)](*_comparable(left, right)), greater)
 
     def _contains(self, left: _Value, right: ast.expr) -> Column:
         if isinstance(right, (ast.List, ast.Tuple, ast.Set)):
@@ -381,20 +385,36 @@ class _Compiler(ast.NodeVisitor):
         raise SpecError(f"these arguments of {name!r} are not supported in expressions")
 
 
-def compile_expression(expression: str, schema: T.StructType) -> tuple[Column, T.DataType]:
-    """(column, type) of a Python-notation expression over the fields of ``schema``."""
+    def predicate(self, node: ast.expr) -> Column:
+        """Truth of a node where only true counts, in a form whose parts Spark can push into a scan."""
+        if isinstance(node, ast.BoolOp):
+            if isinstance(node.op, ast.And):
+                return reduce(lambda a, b: a & b, [self.predicate(v) for v in node.values])
+            result = self.predicate(node.values[-1])
+            for value in reversed(node.values[:-1]):
+                test = self.visit(value).truth()
+                result = (test | result) & test.isNotNull()  # a side that fails hides the ones after it
+            return result
+        if isinstance(node, ast.Compare) and len(node.ops) > 1:
+            operands = [node.left, *node.comparators]
+            pairs = [ast.Compare(a, [op], [b]) for a, op, b in zip(operands, node.ops, operands[1:])]
+            return reduce(lambda a, b: a & b, [self.predicate(p) for p in pairs])
+        return self.visit(node).truth()
+
+
+def _parse(expression: str) -> ast.expr:
     try:
-        tree = ast.parse(expression.strip(), mode="eval")
+        return ast.parse(expression.strip(), mode="eval").body
     except SyntaxError as error:
         raise SpecError(f"cannot parse expression {expression!r}: {error.msg}") from error
-    value = _Compiler(schema).visit(tree)
+
+
+def compile_expression(expression: str, schema: T.StructType) -> tuple[Column, T.DataType]:
+    """(column, type) of a Python-notation expression over the fields of ``schema``."""
+    value = _Compiler(schema).visit(_parse(expression))
     return value.column, value.type
 
 
 def compile_predicate(expression: str, schema: T.StructType) -> Column:
     """Truth of an expression; rows on which it raises or is None do not pass."""
-    try:
-        tree = ast.parse(expression.strip(), mode="eval")
-    except SyntaxError as error:
-        raise SpecError(f"cannot parse expression {expression!r}: {error.msg}") from error
-    return _Compiler(schema).visit(tree).truth()
+    return _Compiler(schema).predicate(_parse(expression))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..columns import col
 from ..errors import TransformError
 
 Record = dict[str, Any]
@@ -22,19 +23,21 @@ def _as_schema(schema: T.StructType | str) -> T.StructType:
 def _run(df: DataFrame, schema: T.StructType | str, work, setup: Hook, teardown: Hook) -> DataFrame:
     out_schema = _as_schema(schema)
     arrow_schema = to_arrow_schema(out_schema)
+    names = df.columns
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if setup:
             setup()
         try:
-            for rows in work(batches):
+            for rows in work(batch.rename_columns(names) for batch in batches):
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
         finally:
             if teardown:
                 teardown()
 
-    return df.mapInArrow(partition, out_schema)
+    numbered = df.select(*[col(name).alias(f"c{i}") for i, name in enumerate(names)])  # any name is allowed inside
+    return numbered.mapInArrow(partition, out_schema)
 
 
 def custom_record(

@@ -33,17 +33,16 @@ def asof_join(
         known = known & col(name).isNotNull()
     hit = F.struct(col(by).alias("_at"), *[col(v) for v in values])
 
-    # several right rows at one instant: the greatest stays, so the window below meets one per instant
     rights = right.where(known).withColumn("_slice", position)
-    rights = rights.groupBy(*[col(k) for k in keys], col(by).alias("_at")).agg(F.max(hit).alias("_hit"))
+    rights = rights.select(*[col(k) for k in keys], col(by).alias("_at"), hit.alias("_hit"))
     lefts = left.where(known).withColumn("_slice", position)
     lefts = lefts.select(*[col(k) for k in keys], col(by).alias("_at"), F.struct(*[col(c) for c in left.columns]).alias("_row"))
     no_hit = F.lit(None).cast(rights.schema["_hit"].dataType)
     no_row = F.lit(None).cast(lefts.schema["_row"].dataType)
 
-    # within a slice: right rows sort before left rows of the same instant
+    # within a slice: of one instant right rows come first, the greatest last among them, then left rows
     marked = lefts.withColumn("_hit", no_hit).unionByName(rights.withColumn("_row", no_row))
-    within = Window.partitionBy(*[col(k) for k in keys]).orderBy("_at", F.col("_hit").isNull())
+    within = Window.partitionBy(*[col(k) for k in keys]).orderBy("_at", F.col("_hit").isNull(), "_hit")
     latest = F.last("_hit", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
     seen = marked.withColumn("_hit", latest).where(F.col("_row").isNotNull())
 

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..errors import SpecError
+from ..observe import Watch
 from ..operators.registry import apply_step, resolve_chain
 from ..sinks.checks import split_rejects
 from ..sinks.files import replace_files, truncate_files, write_files, write_run
@@ -26,10 +27,6 @@ from .incremental import State, StateStore, after_cursor, after_cursor_lenient,
 from .spec import DATABASES, VENDORS, RunSpec
 
 
-def _rows() -> Column:
-    return F.count(F.lit(1)).alias("rows")
-
-
 
 @dataclass(frozen=True)
 class OperatorMetrics:
@@ -196,12 +193,12 @@ def run(
     uses_cursor, mode = sync_plan(spec.sync_mode, spec.cursor_field)
     mode = {"replace": "truncate", "insert": "append"}.get(spec.destination.get("write_mode"), spec.destination.get("write_mode")) or mode
     state = store.load(spec.name, spec.stream) if store else State(spec.name, spec.stream)
-    seen: list[tuple[str, str, Observation]] = []
+    seen: list[tuple[str, str, Watch]] = []
 
-    def watched(df: DataFrame, kind: str, name: str, *extra) -> DataFrame:
-        observation = Observation(f"{run_id}-{len(seen)}")
-        seen.append((kind, name, observation))
-        return df.observe(observation, _rows(), *extra)
+    def watched(df: DataFrame, kind: str, name: str, *extra: Column) -> DataFrame:
+        watch = Watch(df, *extra)
+        seen.append((kind, name, watch))
+        return watch.df
 
     try:
         df = from_cursor(read_source(spark, spec.source), spec, state)
@@ -216,13 +213,13 @@ def run(
         checks = spec.destination.get("quarantine")
         if checks:
             df, rejects = split_rejects(df, checks.get("not_null", ()), checks.get("checks"))
-            rejected = Observation(f"{run_id}-rejects")
-            write_files(rejects.observe(rejected, _rows()), checks["path"], "parquet", "append")
-            failed = int(rejected.get["rows"])
+            rejected = Watch(rejects)
+            write_files(rejected.df, checks["path"], "parquet", "append")
+            failed = rejected.rows
             # both passes go through the steps above, so either one answers their observations
         df = watched(df, "load", spec.destination["type"])
         _write(df, spec, state, mode)
-        counts = [(kind, name, observation.get) for kind, name, observation in seen]
+        counts = [(kind, name, watch.get()) for kind, name, watch in seen]
     except Exception as error:
         if raise_errors:
             raise

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..columns import col
 from ..errors import SpecError
+from ..observe import Watch
 from .files import write_files
 
 
@@ -71,7 +72,7 @@ def write_with_quarantine(
     good, bad = split_rejects(df, not_null, checks)
     counts = []
     for frame, place in ((good, path), (bad, reject_path)):
-        seen = Observation()
-        write_files(frame.observe(seen, F.count(F.lit(1)).alias("n")), place, format, mode)
-        counts.append(int(seen.get["n"]))
+        seen = Watch(frame)
+        write_files(seen.df, place, format, mode)
+        counts.append(seen.rows)
     return counts[0], counts[1]
