@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from .columns import col
 from .errors import TableNotFoundError
 from .sources.envelope import record_count
-from .types import STRING, logical_type
+from .types import STRING, logical_type, source_logical_type_column
 
 CATALOG_COLUMNS = (
     "schema_name string, table_name string, column_name string, ordinal int, data_type string, nullable boolean, "
@@ -44,7 +44,7 @@ def _rows(schema: str, table: str, fields: T.StructType, keys: Mapping[str, Any]
                 f.name,
                 ordinal,
                 STRING if all_string else facts.get("logical_type") or logical_type(f.dataType),
-                f.nullable,
+                facts.get("declared_nullable", f.nullable),
                 f.name in primary or bool(facts.get("primary_key")),
                 foreign.get(f.name) or facts.get("foreign_key"),
                 None if default is None else str(default),
@@ -75,6 +75,25 @@ def discover(
     return columns.join(counts, "table_name", "left").select("schema_name", "table_name", *columns.columns[2:], "row_count")
 
 
+def from_listing(listing: DataFrame, dialect: str) -> DataFrame:
+    """Catalogue rows from a database's own list of columns (see ``read_jdbc_catalog``)."""
+    default = F.col("column_default") if "column_default" in listing.columns else F.lit(None)
+    nothing = F.lit(None).cast("string")
+    return listing.select(
+        F.col("table_schema").alias("schema_name"),
+        "table_name",
+        "column_name",
+        F.col("ordinal_position").cast("int").alias("ordinal"),
+        source_logical_type_column(F.col("data_type"), dialect).alias("data_type"),
+        F.upper("is_nullable").startswith("Y").alias("nullable"),
+        F.lit(False).alias("primary_key"),
+        nothing.alias("foreign_key"),
+        default.cast("string").alias("default_value"),
+        nothing.alias("description"),
+        F.lit(None).cast("bigint").alias("row_count"),
+    )
+
+
 def discover_documents(df: DataFrame, document: str) -> DataFrame:
     """(key, data_type, documents) of a column of JSON object texts: every key of every document, not one sample.
 
