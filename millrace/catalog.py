@@ -60,8 +60,9 @@ def discover(
     schema: str = "main",
     keys: Mapping[str, Mapping[str, Any]] | None = None,
     all_string: bool = False,
+    counts: bool = True,
 ) -> DataFrame:
-    """Catalogue of named DataFrames, with the row count of each table.
+    """Catalogue of named DataFrames, with the row count of each table unless ``counts`` is off.
 
     ``keys`` declares keys per table: ``{"primary_key": [...], "foreign_keys": {column: "table.column"}}``. Columns
     come from the schemas without reading data; all counts are taken in one job. ``all_string`` reports every column
@@ -71,8 +72,10 @@ def discover(
     for name, df in tables.items():
         rows += _rows(schema, name, df.schema, (keys or {}).get(name, {}), all_string)
     columns = spark.createDataFrame(rows, CATALOG_COLUMNS)
-    counts = record_count(tables).withColumnRenamed("stream", "table_name")
-    return columns.join(counts, "table_name", "left").select("schema_name", "table_name", *columns.columns[2:], "row_count")
+    if not counts:
+        return columns.withColumn("row_count", F.lit(None).cast("bigint"))
+    counted = record_count(tables).withColumnRenamed("stream", "table_name")
+    return columns.join(counted, "table_name", "left").select("schema_name", "table_name", *columns.columns[2:], "row_count")
 
 
 def from_listing(listing: DataFrame, dialect: str) -> DataFrame:

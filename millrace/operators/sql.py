@@ -35,7 +35,7 @@ def _temp_views(spark: SparkSession, frames: Mapping[str, DataFrame]):
     with _VIEWS:
         before = {}
         for name, frame in frames.items():
-            if spark.catalog.tableExists(name) and any(t.isTemporary and t.name == name for t in spark.catalog.listTables()):
+            if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
                 before[name] = spark.table(name)
             frame.createOrReplaceTempView(name)
         try:

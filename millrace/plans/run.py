@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..errors import SpecError
-from ..observe import Watch
+from ..observe import FooterCount, Watch
 from ..operators.registry import apply_step, resolve_chain
 from ..sinks.checks import split_rejects
 from ..sinks.files import replace_files, truncate_files, write_files, write_run
@@ -169,6 +169,10 @@ def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
         write_files(df, path, format, **layout)
 
 
+def _counts_from_footers(source: Mapping[str, Any]) -> bool:
+    return source["type"] in ("local_file", "s3") and source.get("format", "parquet") == "parquet"
+
+
 def run(
     spark: SparkSession,
     spec: RunSpec,
@@ -179,10 +183,11 @@ def run(
 ) -> RunResult:
     """Execute a spec as one write and report what went through each step.
 
-    With ``metrics="operators"`` every step's rows are counted where they pass, in the same pass as the write. Counting
-    the rows a source delivers means reading them, so a filter step then runs after the scan instead of inside it;
-    ``metrics="written"`` counts only what is written and leaves Spark free to push filters down. Counts taken before
-    a shuffle include the rows of tasks Spark had to repeat after losing an executor; the written count does not.
+    With ``metrics="operators"`` every step's rows are counted where they pass, in the same pass as the write. What a
+    full parquet read delivers is counted from the file footers instead, so that a filter step still reaches the
+    scan; on other sources a filter step runs after the scan. ``metrics="written"`` counts only what is written.
+    Counts taken before a shuffle include the rows of tasks Spark had to repeat after losing an executor; the written
+    count does not.
 
     The state is saved after the write is complete. A repeated incremental run replaces the files of the run that
     did not get that far.
@@ -193,7 +198,7 @@ def run(
     uses_cursor, mode = sync_plan(spec.sync_mode, spec.cursor_field)
     mode = {"replace": "truncate", "insert": "append"}.get(spec.destination.get("write_mode"), spec.destination.get("write_mode")) or mode
     state = store.load(spec.name, spec.stream) if store else State(spec.name, spec.stream)
-    seen: list[tuple[str, str, Watch]] = []
+    seen: list[tuple[str, str, Watch | FooterCount]] = []
 
     def watched(df: DataFrame, kind: str, name: str, *extra: Column) -> DataFrame:
         watch = Watch(df, *extra)
@@ -203,7 +208,9 @@ def run(
     try:
         df = from_cursor(read_source(spark, spec.source), spec, state)
         cursor = next_cursor(df, spec.cursor_field).alias("cursor") if uses_cursor and spec.cursor_field in df.columns else None
-        if metrics == "operators" or cursor is not None:
+        if metrics == "operators" and cursor is None and _counts_from_footers(spec.source):
+            seen.append(("extract", spec.source["type"], FooterCount(df)))
+        elif metrics == "operators" or cursor is not None:
             df = watched(df, "extract", spec.source["type"], *([cursor] if cursor is not None else []))
         for name, config in resolve_chain(spec.transform, saved):
             df = apply_step(df, name, config)

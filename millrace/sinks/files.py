@@ -47,18 +47,21 @@ def write_files(
     partition_by: Sequence[str] = (),
     batch_size: int | None = None,
     sort_columns: bool = False,
+    rebalance: bool = True,
     options: Mapping[str, object] | None = None,
 ) -> None:
     """Write below ``path``; every task writes its own files.
 
     ``batch_size`` caps the rows of one file (of one array for ``json``). Parquet is compressed with snappy unless
-    told otherwise. CSV columns are put in name order with ``sort_columns``.
+    told otherwise. CSV columns are put in name order with ``sort_columns``. With ``partition_by`` the rows of a
+    directory are gathered into files of the advisory size first, unless ``rebalance`` is off: small directories do
+    not get one file per task, and a directory holding most of the rows is still written by many tasks.
     """
     format = format.lower()
     if format not in FORMATS:
         raise SpecError(f"unsupported file format {format!r}; one of {', '.join(FORMATS)}")
     if format == "json":
-        write_json_arrays(df, path, mode=mode, batch_size=batch_size or 10_000)
+        write_json_arrays(df, path, mode=mode, **({"batch_size": batch_size} if batch_size else {}))
         return
     if format == "csv":
         df = nested_as_json(df)
@@ -66,6 +69,8 @@ def write_files(
             df = df.select(*[col(c) for c in sorted(df.columns)])
     if format == "avro":
         df = _avro_ready(df)
+    if partition_by and rebalance:
+        df = df.hint("rebalance", *[col(name) for name in partition_by])
     writer = df.write.format("json" if format == "jsonl" else format).mode(mode)
     if format in ("csv", "jsonl"):
         writer = writer.options(**_TEXT_WRITE)
@@ -88,8 +93,10 @@ def write_files(
         raise
 
 
-def write_json_arrays(df: DataFrame, path: str, mode: str = "append", batch_size: int = 10_000) -> None:
-    """JSON documents holding one array of up to ``batch_size`` rows each.
+def write_json_arrays(
+    df: DataFrame, path: str, mode: str = "append", batch_size: int = 100_000, batch_chars: int = 64_000_000
+) -> None:
+    """JSON documents holding one array of up to ``batch_size`` rows (and about ``batch_chars`` characters) each.
 
     Spark renders every row as JSON; each task then joins the texts of its own rows, so nothing is shuffled and a
     task holds one array at a time.
@@ -98,12 +105,14 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "append", batch_size
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[str] = []
+        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 waiting.append(text)
-                if len(waiting) == batch_size:
+                size += len(text)
+                if len(waiting) == batch_size or size >= batch_chars:
                     yield pa.RecordBatch.from_pydict({"value": ["[" + ",\n".join(waiting) + "]"]})
-                    waiting = []
+                    waiting, size = [], 0
         if waiting:
             yield pa.RecordBatch.from_pydict({"value": ["[" + ",\n".join(waiting) + "]"]})
 
@@ -114,16 +123,9 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "append", batch_size
 def write_partitioned(
     df: DataFrame, path: str, fields: Sequence[str], format: str = "parquet", mode: str = "append", rebalance: bool = True
 ) -> None:
-    """One ``field=value`` directory level per field, with ``/`` and spaces in values replaced by ``_``.
-
-    ``rebalance`` gathers the rows of a directory into files of the advisory size first: small directories do not get
-    one file per task, and a directory holding most of the rows is still written by many tasks.
-    """
+    """One ``field=value`` directory level per field, with ``/`` and spaces in values replaced by ``_``."""
     clean = {name: F.translate(F.coalesce(col(name).cast("string"), F.lit("None")), "/ ", "__") for name in fields}
-    out = df.withColumns(clean)
-    if rebalance:
-        out = out.hint("rebalance", *[col(name) for name in fields])
-    write_files(out, path, format, mode, partition_by=fields)
+    write_files(df.withColumns(clean), path, format, mode, partition_by=fields, rebalance=rebalance)
 
 
 def write_streams(

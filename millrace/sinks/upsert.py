@@ -44,6 +44,22 @@ def merge_rows(target: DataFrame, latest: DataFrame, keys: Sequence[str]) -> Dat
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
+def _read_target(latest: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
+    """Rows at ``path``, with partition columns typed as they come in rather than guessed from directory names."""
+    reader = latest.sparkSession.read
+    stored = reader.parquet(path).schema
+    typed = [latest.schema[f.name] if f.name in partition_by else f for f in stored.fields]
+    return reader.schema(T.StructType(typed)).parquet(path)
+
+
+def _in_partitions(target: DataFrame, latest: DataFrame, partition_by: Sequence[str]) -> Column:
+    """Filter on the partition columns that prunes ``target`` to the partitions ``latest`` has rows in."""
+    fields = [target.schema[c] for c in partition_by]
+    found = latest.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in fields]).distinct().collect()
+    values = [F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for row in found]
+    return F.struct(*[col(f.name) for f in fields]).isin(*values) if values else F.lit(False)
+
+
 def upsert_files(
     incoming: DataFrame,
     path: str,
@@ -54,7 +70,8 @@ def upsert_files(
     """Upsert into parquet files at ``path``, created when missing.
 
     When the partition columns are part of the key, only the partitions the incoming rows belong to are read and
-    rewritten. Otherwise the whole target is rewritten beside the old one and then takes its place.
+    rewritten; their list is as long as the directories written. Otherwise the whole target is rewritten beside the
+    old one and then takes its place, so large targets want a partition column in their key (a hash bucket will do).
     """
     spark = incoming.sparkSession
     restore(spark, path)
@@ -65,16 +82,14 @@ def upsert_files(
     if not path_exists(spark, path):
         replace_files(latest, path, partition_by=partition_by)
     elif partition_by and set(partition_by) <= set(keys):
-        target = spark.read.parquet(path)
-        touched = latest.select(*[col(c) for c in partition_by]).distinct()
-        target = target.join(touched, list(partition_by), "left_semi").select(*[col(c) for c in target.columns])
+        target = _read_target(latest, path, partition_by)
         write_files(
-            merge_rows(target, latest, keys),
+            merge_rows(target.where(_in_partitions(target, latest, partition_by)), latest, keys),
             path,
             mode="overwrite",
             partition_by=partition_by,
             options={"partitionOverwriteMode": "dynamic"},
         )
     else:
-        replace_files(merge_rows(spark.read.parquet(path), latest, keys), path, partition_by=partition_by)
+        replace_files(merge_rows(_read_target(latest, path, partition_by), latest, keys), path, partition_by=partition_by)
     delete_path(spark, staged)

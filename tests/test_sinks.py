@@ -66,6 +66,9 @@ def test_json_arrays_hold_one_batch_each(spark, where):
     write_json_arrays(spark.range(0, 25, 1, 1), where("a"), batch_size=10)
     sizes = sorted(len(json.load(open(f))) for f in files(where("a"), ".txt"))
     assert sizes == [5, 10, 10]
+    write_json_arrays(spark.range(0, 25, 1, 1), where("b"), batch_chars=80)
+    assert len(files(where("b"), ".txt")) > 2
+    assert spark.read.option("multiLine", True).json(where("b")).count() == 25
 
 
 def test_partition_values_are_cleaned(spark, where):
@@ -151,6 +154,15 @@ def test_partitioned_upsert_leaves_other_partitions_alone(spark, where):
     assert files(path + "/p=b", ".parquet") == before
 
 
+def test_partition_names_that_look_like_numbers_stay_text(spark, where):
+    path = where("u")
+    write_files(spark.createDataFrame([("01", 1, 1), (None, 3, 3)], "p string, k long, v long"), path, partition_by=["p"])
+    new = spark.createDataFrame([("01", 1, 2), ("1", 1, 3), (None, 4, 4)], "p string, k long, v long")
+    upsert_files(new, path, ["p", "k"], ["v"], partition_by=["p"])
+    got = rows(spark.read.schema("p string, k long, v long").parquet(path), "p", "k", "v")
+    assert got == sorted([("01", 1, 2), ("1", 1, 3), (None, 3, 3), (None, 4, 4)], key=repr)
+
+
 batches = st.lists(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9)), min_size=1, max_size=6), min_size=1, max_size=3)
 
 

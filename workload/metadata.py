@@ -42,8 +42,8 @@ _COLUMNS = f"""
 """
 
 
-def _catalogue(spark, sf):
-    return discover(spark, {t: table(spark, sf, t) for t in TABLES}, keys=KEYS)
+def _catalogue(spark, sf, counts=True):
+    return discover(spark, {t: table(spark, sf, t) for t in TABLES}, keys=KEYS, counts=counts)
 
 
 def _key_sql(kind):
@@ -149,4 +149,4 @@ def cat_erd_edges(spark, sf):
     """Edges of the diagram, each with the rows that use it and those pointing nowhere."""
     tables = {t: table(spark, sf, t) for t in TABLES}
     used = check_foreign_keys(tables, EDGES)
-    return erd_edges(_catalogue(spark, sf)).join(used, ["source", "source_column", "target", "target_column"])
+    return erd_edges(_catalogue(spark, sf, counts=False)).join(used, ["source", "source_column", "target", "target_column"])
