@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .columns import col
 from .errors import TableNotFoundError
+from .session import local_frame
 from .sources.envelope import record_count
 from .types import STRING, logical_type, source_logical_type_column
 
@@ -71,7 +72,7 @@ def discover(
     rows = []
     for name, df in tables.items():
         rows += _rows(schema, name, df.schema, (keys or {}).get(name, {}), all_string)
-    columns = spark.createDataFrame(rows, CATALOG_COLUMNS)
+    columns = local_frame(spark, rows, CATALOG_COLUMNS)
     if not counts:
         return columns.withColumn("row_count", F.lit(None).cast("bigint"))
     counted = record_count(tables).withColumnRenamed("stream", "table_name")

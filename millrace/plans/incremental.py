@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..columns import col
 from ..errors import SpecError
-from ..session import path_exists
+from ..session import local_frame, path_exists
 from ..types import BOOLEAN, DATE, DATETIME, FLOAT, INTEGER, STRING, logical_type
 
 CursorValue = int | float | str | bool | date | datetime | Decimal | None
@@ -132,7 +132,7 @@ class StateStore:
 
     def save(self, state: State) -> None:
         """Write a state; called only after the data it describes has been published."""
-        row = self.spark.createDataFrame([tuple(asdict(state).values())], _STATE_SCHEMA)
+        row = local_frame(self.spark, [tuple(asdict(state).values())], _STATE_SCHEMA)
         row.coalesce(1).write.mode("append").json(self.path)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from .columns import col
 from .errors import SpecError
 from .plans.run import RunResult
-from .session import path_exists
+from .session import local_frame, path_exists
 
 # Job statuses, and the ones that end a job.
 JOB_STATUSES = ("pending", "running", "success", "failed", "cancelled")
@@ -38,7 +38,7 @@ class RunLog:
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.path}/{name}"
         if not path_exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
+            return local_frame(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(path)
 
     def runs(self) -> DataFrame:
@@ -63,7 +63,7 @@ class RunLog:
         ]
         for name, rows, schema in (("runs", [run], RUNS), ("operator_runs", operators, OPERATOR_RUNS)):
             if rows:
-                self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+                local_frame(self.spark, rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
         return number
 
 
@@ -74,7 +74,7 @@ def metrics_frame(spark: SparkSession, result: RunResult) -> DataFrame:
         "name string, status string, records_read bigint, records_processed bigint, records_written bigint, "
         "records_failed bigint"
     )
-    return spark.createDataFrame([row], schema)
+    return local_frame(spark, [row], schema)
 
 
 def operator_metrics_frame(spark: SparkSession, result: RunResult) -> DataFrame:
@@ -87,7 +87,7 @@ def operator_metrics_frame(spark: SparkSession, result: RunResult) -> DataFrame:
         "step int, operator_type string, operator_name string, records_in bigint, records_out bigint, "
         "records_failed bigint"
     )
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:

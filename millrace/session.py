@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Settings for large inputs: many small reduce partitions that AQE merges up to the advisory size,
 # and skewed join partitions split at run time.
@@ -64,3 +67,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Remove staged data this library wrote."""
     fs, jpath = hadoop_path(spark, path)
     fs.delete(jpath, True)
+
+
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a DataFrame that is part of the plan, not a job over Python objects."""
+    fields = T.StructType.fromDDL(schema)
+    records = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(fields)), fields)

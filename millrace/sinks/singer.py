@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..columns import col
+from ..session import local_frame
 from ..types import BINARY, BOOLEAN, DATE, DATETIME, FLOAT, INTEGER, JSON, logical_type
 from .files import _TEXT_WRITE
 
@@ -43,7 +44,7 @@ def write_singer(
     base = path.rstrip("/")
 
     def one_line(name: str, text: str) -> None:
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{base}/{name}")
+        local_frame(spark, [(text,)], "value string").coalesce(1).write.mode(mode).text(f"{base}/{name}")
 
     one_line("0-schema", schema_message(df.schema, stream, key_properties))
     message = F.struct(

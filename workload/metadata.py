@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog import check_foreign_keys, discover, discover_documents, erd_edges, erd_nodes, list_tables, totals
+from millrace.session import local_frame
 from millrace.types import source_logical_type_column
 
 from .registry import query, table
@@ -42,8 +43,12 @@ _COLUMNS = f"""
 """
 
 
-def _catalogue(spark, sf, counts=True):
-    return discover(spark, {t: table(spark, sf, t) for t in TABLES}, keys=KEYS, counts=counts)
+def _tables(spark, sf):
+    return {t: table(spark, sf, t) for t in TABLES}
+
+
+def _catalogue(spark, sf):
+    return discover(spark, _tables(spark, sf), keys=KEYS)
 
 
 def _key_sql(kind):
@@ -99,10 +104,11 @@ def cat_totals(spark, sf):
 )
 def cat_type_map(spark, sf):
     """Logical types from the type names alone, by the rules for databases of no known kind."""
-    names = [(t, c, kind) for t in TABLES for c, kind in table(spark, sf, t).dtypes]
-    physical = spark.createDataFrame(names, "table_name string, column_name string, type_name string")
+    tables = _tables(spark, sf)
+    names = [(t, c, kind) for t, df in tables.items() for c, kind in df.dtypes]
+    physical = local_frame(spark, names, "table_name string, column_name string, type_name string")
     mapped = physical.withColumn("logical_type", source_logical_type_column(F.col("type_name"), "generic"))
-    return mapped.drop("type_name").join(list_tables(_catalogue(spark, sf)), "table_name").select(
+    return mapped.drop("type_name").join(list_tables(discover(spark, tables)), "table_name").select(
         "table_name", "column_name", "logical_type", "row_count"
     )
 
@@ -147,6 +153,6 @@ def cat_erd_nodes(spark, sf):
 )
 def cat_erd_edges(spark, sf):
     """Edges of the diagram, each with the rows that use it and those pointing nowhere."""
-    tables = {t: table(spark, sf, t) for t in TABLES}
+    tables = _tables(spark, sf)
     used = check_foreign_keys(tables, EDGES)
-    return erd_edges(_catalogue(spark, sf, counts=False)).join(used, ["source", "source_column", "target", "target_column"])
+    return erd_edges(discover(spark, tables, keys=KEYS, counts=False)).join(used, ["source", "source_column", "target", "target_column"])

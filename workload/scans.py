@@ -35,7 +35,7 @@ def src_csv(spark, sf):
 def src_json_array(spark, sf):
     orders = table(spark, sf, "orders")
     path = work_path(spark, "json")
-    write_files(orders, path, "json", batch_size=1000)
+    write_files(orders, path, "json", batch_size=5000)
     return read_files(spark, path, "json", schema=orders.schema)
 
 
