@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -175,28 +176,26 @@ def erd_edges(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def check_foreign_keys(tables: Mapping[str, DataFrame], edges: list[tuple[str, str, str, str]]) -> DataFrame:
+def check_foreign_keys(tables: Mapping[str, DataFrame], edges: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """(source, source_column, target, target_column, rows, orphans) of (source, column, target, column) edges.
 
-    Source rows are counted per key value before the join, so a value that fills much of the table is one row there.
+    Key values of both sides meet in one aggregate per edge and value, without a join: each task first reduces its
+    rows to one count per value, so a value that fills much of a table is one row in the shuffle.
     """
     parts = []
     for source, source_column, target, target_column in edges:
-        used = tables[source].where(col(source_column).isNotNull()).groupBy(col(source_column).alias("k")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        known = tables[target].select(col(target_column).alias("k")).distinct().withColumn("known", F.lit(True))
-        parts.append(
-            used.join(known, "k", "left").agg(
-                F.lit(source).alias("source"),
-                F.lit(source_column).alias("source_column"),
-                F.lit(target).alias("target"),
-                F.lit(target_column).alias("target_column"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        data_type = tables[source].schema[source_column].dataType
+        edge = F.struct(
+            F.lit(source).alias("source"),
+            F.lit(source_column).alias("source_column"),
+            F.lit(target).alias("target"),
+            F.lit(target_column).alias("target_column"),
+        ).alias("edge")
+        for table, column, n in ((source, source_column, 1), (target, target_column, 0)):
+            value = col(column).cast(data_type).cast("string").alias("value")
+            parts.append(tables[table].select(edge, value, F.lit(n).alias("n"), F.lit(n == 0).alias("known")))
+    per_value = reduce(DataFrame.unionAll, parts).where("value IS NOT NULL").groupBy("edge", "value")
+    per_value = per_value.agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+    return per_value.groupBy("edge").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("known"), F.lit(0)).otherwise(F.col("n"))).alias("orphans")
+    ).select("edge.*", "rows", "orphans")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..columns import col
+from ..columns import col, seconds_between
+from ..errors import SpecError
 
 
 def asof_join(
@@ -25,17 +26,18 @@ def asof_join(
     slice needs from earlier ones is the last right row before it: one pre-aggregated row per key and slice.
     Left rows without a match keep NULLs. Of right rows with equal ``by`` one is taken by the order of its values.
     """
+    _same_line((left, by), (right, by))
     on = list(on)
     keys = [*on, "_slice"]
-    position = F.floor(_number(left, by) / F.lit(float(slice_width)))
+    width = F.lit(float(slice_width))
     known = F.lit(True)
     for name in [*on, by]:
         known = known & col(name).isNotNull()
     hit = F.struct(col(by).alias("_at"), *[col(v) for v in values])
 
-    rights = right.where(known).withColumn("_slice", position)
+    rights = right.where(known).withColumn("_slice", F.floor(_number(right, by) / width))
     rights = rights.select(*[col(k) for k in keys], col(by).alias("_at"), hit.alias("_hit"))
-    lefts = left.where(known).withColumn("_slice", position)
+    lefts = left.where(known).withColumn("_slice", F.floor(_number(left, by) / width))
     lefts = lefts.select(*[col(k) for k in keys], col(by).alias("_at"), F.struct(*[col(c) for c in left.columns]).alias("_row"))
     no_hit = F.lit(None).cast(rights.schema["_hit"].dataType)
     no_row = F.lit(None).cast(lefts.schema["_row"].dataType)
@@ -67,10 +69,21 @@ def asof_join(
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    if kind.startswith("timestamp") or kind == "date":
-        return F.unix_micros(col(name).cast("timestamp")) / F.lit(1e6)
-    return col(name).cast("double")
+    """Position on a number line: seconds for dates and timestamps. Zone-free types are counted without a zone."""
+    value, data_type = col(name), df.schema[name].dataType
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(value) / F.lit(1e6)
+    if isinstance(data_type, T.TimestampNTZType):
+        return seconds_between(F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), value)
+    if isinstance(data_type, T.DateType):
+        return F.unix_date(value) * F.lit(86400.0)
+    return value.cast("double")
+
+
+def _same_line(*columns: tuple[DataFrame, str]) -> None:
+    zoned = {isinstance(df.schema[name].dataType, T.TimestampType) for df, name in columns}
+    if len(zoned) > 1:
+        raise SpecError("timestamps with and without a time zone cannot be matched; cast one side first")
 
 
 def range_join(
@@ -87,6 +100,7 @@ def range_join(
     Each range is listed once per bucket of ``width`` it touches, so the join is an equi-join on the bucket with the
     exact bounds as residual filter; nothing is compared across buckets. Choose ``width`` near the usual range length.
     """
+    _same_line((points, point), (ranges, low), (ranges, high))
     step = F.lit(float(width))
     first = F.floor(_number(ranges, low) / step)
     last = F.floor(_number(ranges, high) / step)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -26,10 +26,11 @@ _COMPARABLE = {
 
 
 def _last(value: CursorValue, data_type: T.DataType) -> Column:
-    literal = F.lit(value)
+    if isinstance(value, datetime) and value.tzinfo is None:
+        return F.lit(value.isoformat(sep=" ")).cast(data_type)  # as text: no time zone of this process comes in
     if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
-        return literal
-    return literal.cast(data_type)
+        return F.lit(value)
+    return F.lit(value).cast(data_type)
 
 
 def after_cursor(df: DataFrame, cursor_field: str, last: CursorValue) -> DataFrame:
@@ -58,8 +59,8 @@ def next_cursor(df: DataFrame, cursor_field: str) -> Column:
     """Aggregate giving the cursor to save, as text that :func:`parse_cursor` reads back exactly."""
     value = F.max(col(cursor_field))
     data_type = df.schema[cursor_field].dataType
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(data_type, T.TimestampType):
+        value = F.unix_micros(value)
     return value.cast("string")
 
 
@@ -67,9 +68,10 @@ def parse_cursor(text: str | None, data_type: T.DataType) -> CursorValue:
     """A saved cursor in the type of its column."""
     if text is None:
         return None
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        moment = datetime.strptime(text, "%Y-%m-%d %H:%M:%S.%f")
-        return moment.replace(tzinfo=timezone.utc) if isinstance(data_type, T.TimestampType) else moment
+    if isinstance(data_type, T.TimestampType):
+        return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=int(text))
+    if isinstance(data_type, T.TimestampNTZType):
+        return datetime.fromisoformat(text)
     if isinstance(data_type, T.DateType):
         return date.fromisoformat(text)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):

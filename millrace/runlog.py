@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .columns import col
+from .columns import col, seconds_between
 from .errors import SpecError
 from .plans.run import RunResult
 from .session import local_frame, path_exists
@@ -131,8 +131,7 @@ def job_history(
 
 def with_durations(jobs: DataFrame) -> DataFrame:
     """``duration_seconds`` from start and end, for jobs that have ended and were started."""
-    started, completed = F.col("started_at"), F.col("completed_at")
-    seconds = (F.unix_micros(completed.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / F.lit(1e6)
+    seconds = seconds_between(F.col("started_at"), F.col("completed_at"))
     return jobs.withColumn("duration_seconds", F.when(F.col("status").isin(*ENDED), seconds))
 
 

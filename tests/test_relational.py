@@ -1,7 +1,9 @@
+import pytest
 from conftest import plan, rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from millrace.errors import SpecError
 from millrace.operators import asof_join, range_join, top_k_per_group
 
 small = st.one_of(st.none(), st.integers(0, 2))
@@ -21,6 +23,18 @@ def test_asof_join_against_every_pair(spark, lefts, rights, width):
     assert len(got) == len(lefts)
 
 
+def test_time_slices_ignore_the_session_zone(spark):
+    left = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ'2024-03-31 03:10:00' AS at")
+    right = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ'2024-03-31 02:50:00' AS at, 7 AS v")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert rows(asof_join(left, right, ["k"], "at", ["v"], 1800), "v") == [(7,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    with pytest.raises(SpecError):
+        asof_join(left, right.selectExpr("k", "CAST(at AS TIMESTAMP) AS at", "v"), ["k"], "at", ["v"], 1800)
+
+
 def test_a_hot_key_is_cut_into_slices(spark):
     left = spark.range(1000).selectExpr("1L AS k", "id AS at")
     right = spark.range(0, 1000, 10).selectExpr("1L AS k", "id AS at", "id AS v")

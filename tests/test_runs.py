@@ -1,5 +1,5 @@
 import json
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 import pytest
 from conftest import SF, plan, rows
@@ -51,6 +51,20 @@ def test_cursors_survive_saving(spark, data_type, value):
     assert after_cursor(df, "c", parse_cursor(text, df.schema["c"].dataType)).count() == 0
 
 
+def test_cursors_do_not_depend_on_the_session_zone(spark):
+    moments = [datetime(2024, 3, 31, 2, 30, 0, 5), datetime(2024, 1, 1)]  # the first does not exist in Berlin
+    for data_type in ("timestamp_ntz", "timestamp"):
+        rows_in = [(m if data_type == "timestamp_ntz" else m.replace(tzinfo=timezone.utc),) for m in moments]
+        df = spark.createDataFrame(rows_in, f"c {data_type}")
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        try:
+            text = df.agg(next_cursor(df, "c")).first()[0]
+            assert parse_cursor(text, df.schema["c"].dataType) == rows_in[0][0]
+            assert after_cursor(df, "c", parse_cursor(text, df.schema["c"].dataType)).count() == 0
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_state_store(spark, where):
     store = StateStore(spark, where("state"))
     assert store.load("p", "s") == State("p", "s")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import asof_join, range_join, sql_transform, top_k_per_group
+from millrace.session import work_path
+from millrace.sinks import write_files
 
 from .registry import query, sql_query, table
 
@@ -343,18 +345,23 @@ sql_query(
     extra=["orders"],
 )
 
-sql_query(
-    "sql_recursive",
-    "orders",
-    """
-    WITH RECURSIVE per_year AS (SELECT EXTRACT(YEAR FROM o_orderdate) AS y, COUNT(*) AS n FROM data GROUP BY EXTRACT(YEAR FROM o_orderdate)),
-         walk(y, total) AS (
-           SELECT y, n FROM per_year WHERE y = (SELECT MIN(y) FROM per_year)
-           UNION ALL
-           SELECT p.y, w.total + p.n FROM walk w JOIN per_year p ON p.y = w.y + 1)
+YEARS_SQL = "SELECT EXTRACT(YEAR FROM o_orderdate) AS y, COUNT(*) AS n FROM data GROUP BY EXTRACT(YEAR FROM o_orderdate)"
+WALK_SQL = """
+    walk(y, total) AS (
+      SELECT y, n FROM per_year WHERE y = (SELECT MIN(y) FROM per_year)
+      UNION ALL
+      SELECT p.y, w.total + p.n FROM walk w JOIN per_year p ON p.y = w.y + 1)
     SELECT CAST(y AS BIGINT) AS y, CAST(total AS BIGINT) AS total FROM walk
-    """,
-)
+"""
+
+
+@query("sql_recursive", f"WITH RECURSIVE per_year AS ({YEARS_SQL.replace('FROM data', 'FROM orders')}), {WALK_SQL}")
+def sql_recursive(spark, sf):
+    """Every step of a recursion runs its plan anew, so what it steps over is aggregated and stored first."""
+    path = work_path(spark, "per_year")
+    write_files(sql_transform(table(spark, sf, "orders"), YEARS_SQL), path)
+    return sql_transform(spark.read.parquet(path), f"WITH RECURSIVE per_year AS (SELECT * FROM data), {WALK_SQL}")
+
 
 sql_query(
     "sql_string_fns",
