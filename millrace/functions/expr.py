@@ -14,7 +14,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from ..columns import col
 from ..errors import SpecError
-from .casts import truthy
+from .casts import python_str, truthy
 
 _NUMERIC = (T.LongType, T.DoubleType, T.BooleanType)
 _SPACES = r"[\s\x1c-\x1f\x85   -     　]+"
@@ -184,6 +184,77 @@ def _all_of(tests: list[Column]) -> Column:
     return result
 
 
+class _Known(ast.expr):
+    """A node whose value has been worked out already."""
+
+    def __init__(self, value: _Value):
+        super().__init__()
+        self.known = value
+
+
+def _strip(pattern: str, by_characters):
+    def build(text, characters=None):
+        if characters is None:
+            return F.regexp_replace(text, pattern.format(_SPACES), "")
+        return by_characters(text, F.lit(characters)) if isinstance(characters, str) else None
+
+    return build
+
+
+def _replace(text, old=None, new=None):
+    return F.replace(text, F.lit(old), F.lit(new)) if old and isinstance(new, str) else None
+
+
+def _affix(test):
+    def build(text, options=None):
+        if options is None:
+            return None
+        options = options if isinstance(options, tuple) else (options,)
+        found = reduce(lambda a, b: a | b, [getattr(text, test)(F.lit(o)) for o in options], F.lit(False))
+        return F.when(text.isNotNull(), found)
+
+    return build
+
+
+def _split(text, separator=None):
+    if separator is None:
+        bare = F.regexp_replace(text, "^{0}|{0}$".format(_SPACES), "")
+        return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACES))
+    return F.split(text, rf"\Q{separator}\E") if separator and "\\E" not in separator else None
+
+
+def _find(text, part=None):
+    return (F.locate(part, text) - 1).cast("bigint") if isinstance(part, str) else None
+
+
+def _count(text, part=None):
+    if not part:
+        return None
+    gone = F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
+    return (gone / len(part)).cast("bigint")
+
+
+_TEXT, _FLAG, _WHOLE = T.StringType(), T.BooleanType(), T.LongType()
+# Result type and builder of each string method; a builder returns None for arguments it has no use for.
+_METHODS = {
+    "upper": (_TEXT, lambda text: F.upper(text)),
+    "lower": (_TEXT, lambda text: F.lower(text)),
+    "capitalize": (_TEXT, lambda text: F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))),
+    "strip": (_TEXT, _strip("^{0}|{0}$", F.btrim)),
+    "lstrip": (_TEXT, _strip("^{0}", F.ltrim)),
+    "rstrip": (_TEXT, _strip("{0}$", F.rtrim)),
+    "replace": (_TEXT, _replace),
+    "startswith": (_FLAG, _affix("startswith")),
+    "endswith": (_FLAG, _affix("endswith")),
+    "split": (T.ArrayType(_TEXT), _split),
+    "find": (_WHOLE, _find),
+    "count": (_WHOLE, _count),
+}
+
+_DATE_PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth}
+_TIME_PARTS = {"hour": F.hour, "minute": F.minute, "second": F.second}
+
+
 class _Compiler(ast.NodeVisitor):
     def __init__(self, schema: T.StructType):
         self.types = {f.name: _widen(f.dataType) for f in schema.fields}
@@ -300,6 +371,26 @@ class _Compiler(ast.NodeVisitor):
             return F.map_contains_key(box.column, left.column)
         return F.lit(None).cast("boolean")
 
+    def visit_JoinedStr(self, node):
+        pieces = []
+        for part in node.values:
+            if isinstance(part, ast.Constant):
+                pieces.append(F.lit(part.value))
+                continue
+            if part.format_spec is not None or part.conversion != -1:
+                raise SpecError("format specifications are not supported in expressions")
+            value = self.visit(part.value)
+            text = python_str(value.column, value.type)
+            pieces.append(F.coalesce(text, F.lit("None")) if value.field else text)
+        return _Value(F.concat(*pieces) if pieces else F.lit(""), T.StringType())
+
+    def visit_Attribute(self, node):
+        value = self.visit(node.value)
+        parts = _DATE_PARTS if _is(value, T.DateType) else {**_DATE_PARTS, **_TIME_PARTS}
+        if node.attr not in parts or not _is(value, T.DateType, T.TimestampType, T.TimestampNTZType):
+            return _null()  # no such attribute: an error on every row
+        return _Value(parts[node.attr](value.column).cast("bigint"), T.LongType())
+
     def visit_Subscript(self, node):
         value = self.visit(node.value)
         if isinstance(node.slice, ast.Slice):
@@ -360,30 +451,24 @@ class _Compiler(ast.NodeVisitor):
         return self._method(node.func.attr, value, arguments)
 
     def _method(self, name: str, value: _Value, arguments: list) -> _Value:
-        text = value.column
-        simple = {"upper": F.upper, "lower": F.lower}
-        strips = {"strip": (F.btrim, "^{0}|{0}$"), "lstrip": (F.ltrim, "^{0}"), "rstrip": (F.rtrim, "{0}$")}
-        if name not in (*simple, *strips, "replace", "startswith", "endswith"):
+        if name == "get" and len(arguments) == 1 and _is(value, T.MapType, T.StructType):
+            item = self.visit_Subscript(ast.Subscript(_Known(value), ast.Constant(arguments[0])))
+            return _Value(item.column, item.type, field=True)
+        if name not in _METHODS:
             raise SpecError(f"method {name!r} is not supported in expressions")
-        kind = T.BooleanType() if name.endswith("swith") else T.StringType()
+        kind, build = _METHODS[name]
         if not _is(value, T.StringType):
             return _null(kind)
-        if name in simple and not arguments:
-            return _Value(simple[name](text), kind)
-        if name in strips and not arguments:
-            return _Value(F.regexp_replace(text, strips[name][1].format(_SPACES), ""), kind)
-        if name in strips and len(arguments) == 1 and isinstance(arguments[0], str):
-            return _Value(strips[name][0](text, F.lit(arguments[0])), kind)
-        if name == "replace" and len(arguments) == 2 and arguments[0]:
-            return _Value(F.replace(text, F.lit(arguments[0]), F.lit(arguments[1])), kind)
-        if name in ("startswith", "endswith") and len(arguments) == 1:
-            options = arguments[0] if isinstance(arguments[0], tuple) else (arguments[0],)
-            test = F.lit(False)
-            for option in options:
-                test = test | getattr(text, name)(F.lit(option))
-            return _Value(F.when(text.isNotNull(), test), kind)
-        raise SpecError(f"these arguments of {name!r} are not supported in expressions")
-
+        try:
+            result = build(value.column, *arguments)
+        except TypeError:  # more arguments than the builder takes
+            result = None
+        if result is None:
+            raise SpecError(f"these arguments of {name!r} are not supported in expressions")
+        return _Value(result, kind)
+
+    def visit__Known(self, node):
+        return node.known
 
     def predicate(self, node: ast.expr) -> Column:
         """Truth of a node where only true counts, in a form whose parts Spark can push into a scan."""

@@ -32,6 +32,8 @@ EXPRESSIONS = [
     "'pos' if a > 0 else 'neg'", "1 if a / b > 1 else 2", "s[0]", "s[-1]", "s[1:3]", "s[:2]", "s[-2:]", "s[2]", "s.upper()",
     "s.lower()", "s.strip()", "s.lstrip()", "s.rstrip()", "s.strip('ab')", "s.lstrip('a')", "s.rstrip('cX')",
     "s.replace('X', '-')", "s.startswith('a')", "s.endswith('c')", "s.startswith(('a', 'h'))", "s.upper() + t",
+    "s.split('b')[0]", "s.split('b')[-1]", "s.split()[0]", "s.split('X')[1]", "s.find('b')", "s.count('X')", "s.capitalize()",
+    "f'{a}-{s}'", "f'{x}|{f}'", "f'k{a // b}'", "f''", "s.year", "'b' in s.split('a')", "s.find('b') > 0 and s.count('b') == 1",
     "missing", "missing + 1", "1", "'k'", "None", "True", "2.5", "a > 2.5", "(a + b) * 2 - x / 4", "a.upper()", "s - t",
 ]
 
@@ -87,7 +89,7 @@ def test_unknown_name_changes_nothing(frame):
 
 @pytest.mark.parametrize(
     "text",
-    ["len(s)", "__import__('os')", "s.format(a)", "[c for c in s]", "lambda: 1", "a +", "s.replace('', 'x')", "a & b", "f'{a}'", "(1).real"],
+    ["len(s)", "__import__('os')", "s.format(a)", "[c for c in s]", "lambda: 1", "a +", "s.replace('', 'x')", "a & b", "f'{a:>5}'", "f'{a!r}'", "s.split('')", "s.upper('x')", "s.count('')"],
 )
 def test_unsupported_expressions_are_refused_when_built(frame, text):
     with pytest.raises(SpecError):
@@ -106,8 +108,12 @@ def test_filters_keep_what_python_keeps(frame, text):
 
 
 def test_nested_fields(spark):
-    df = spark.sql("SELECT named_struct('k', 3, 'n', named_struct('z', 'q')) AS p, map('u', 1.5D) AS m, array(4, 5) AS v")
-    for text, want in (("p['k'] + 1", 4), ("p['n']['z']", "q"), ("m['u']", 1.5), ("m['gone']", None), ("v[0]", 4), ("v[-1]", 5), ("v[9]", None), ("4 in v", True)):
+    df = spark.sql(
+        "SELECT named_struct('k', 3, 'n', named_struct('z', 'q')) AS p, map('u', 1.5D) AS m, array(4, 5) AS v, "
+        "TIMESTAMP_NTZ'2024-02-03 04:05:06' AS t, DATE'2023-01-09' AS d"
+    )
+    for text, want in (("m.get('u')", 1.5), ("m.get('gone')", None), ("m.get('gone') or 2.5", 2.5), ("p.get('k')", 3), ("t.year * 100 + t.month", 202402), ("t.hour", 4), ("d.day", 9), ("d.hour", None), ("t > t", False), ("t.year - d.year", 1),
+        ("p['k'] + 1", 4), ("p['n']['z']", "q"), ("m['u']", 1.5), ("m['gone']", None), ("v[0]", 4), ("v[-1]", 5), ("v[9]", None), ("4 in v", True)):
         assert compute_expression(df, "r", text).first()["r"] == want
 
 
