@@ -134,6 +134,16 @@ def _write(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
         _write_files(df, spec, state, mode)
 
 
+def _same_place(spec: RunSpec, path: str) -> bool:
+    """Whether the source may lie in the directory written."""
+    source = spec.source
+    if source["type"] == "s3":
+        read = prefix_path(source["bucket"], source.get("prefix"), stream_name(source), source.get("scheme", "s3a://"))
+    else:
+        read = str(source.get("file_path") or "")
+    return bool(read) and (read.startswith(path) or path.startswith(read))
+
+
 def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
     config = spec.destination
     name = stream_name(config) or spec.stream
@@ -160,9 +170,9 @@ def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
     if format == "json":
         layout = {"batch_size": config.get("batch_size")}
     if mode == "overwrite":
-        replace_files(df, path, format, **layout)
+        replace_files(df, path, format, reads_target=_same_place(spec, path), **layout)
     elif mode == "truncate":
-        truncate_files(df, path, format, **layout)
+        truncate_files(df, path, format, reads_target=_same_place(spec, path), **layout)
     elif spec.sync_mode == "incremental":
         write_run(df, path, state.run + 1, format, **layout)
     else:

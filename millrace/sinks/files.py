@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..columns import col
 from ..errors import MissingConnectorError, SpecError
-from ..session import hadoop_path, path_exists
+from ..session import delete_path, hadoop_path, path_exists, work_path
 from ..sources.files import _FORMAT_OPTIONS
 
 FORMATS = ("parquet", "csv", "json", "jsonl", "avro")
 _NTZ_WRITE = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _TEXT_WRITE = {"timestampNTZFormat": _NTZ_WRITE, "timestampFormat": _NTZ_WRITE + "XXX"}
+_COPYING_STORES = ("s3a://", "s3://", "s3n://", "gs://")
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
 
@@ -187,16 +188,44 @@ def staging_path(target: str) -> str:
     return f"{target.rstrip('/')}__staged_{uuid.uuid4().hex}"
 
 
-def replace_files(df: DataFrame, path: str, format: str = "parquet", **options) -> None:
-    """Overwrite ``path``, which ``df`` may itself read: the new files are complete before the old ones go."""
+def _renames_cheaply(path: str) -> bool:
+    return not path.startswith(_COPYING_STORES)
+
+
+def replace_files(
+    df: DataFrame,
+    path: str,
+    format: str = "parquet",
+    reads_target: bool = True,
+    by_rename: bool | None = None,
+    **options,
+) -> None:
+    """Overwrite ``path``; ``df`` may read it itself unless ``reads_target`` is off.
+
+    Where a rename is cheap, the new files are written beside the old ones and take their place when complete. Object
+    stores copy every byte on a rename, so there the rows go straight to ``path`` (by way of the shared folder if they
+    are read from it).
+    """
     spark = df.sparkSession
-    restore(spark, path)
-    staged = staging_path(path)
-    write_files(df, staged, format, mode="errorifexists", **options)
-    publish(spark, staged, path)
+    if by_rename is None:
+        by_rename = _renames_cheaply(path)
+    if by_rename:
+        restore(spark, path)
+        staged = staging_path(path)
+        write_files(df, staged, format, mode="errorifexists", **options)
+        publish(spark, staged, path)
+        return
+    kept = None
+    if reads_target:
+        kept = work_path(spark, "replace")
+        write_files(df, kept)
+        df = spark.read.schema(df.schema).parquet(kept)
+    write_files(df, path, format, mode="overwrite", **options)
+    if kept:
+        delete_path(spark, kept)
 
 
-def truncate_files(df: DataFrame, path: str, format: str = "parquet", **options) -> None:
+def truncate_files(df: DataFrame, path: str, format: str = "parquet", reads_target: bool = True, **options) -> None:
     """Replace the rows of ``path`` but keep its columns and types; columns ``df`` lacks become NULL."""
     schema = df.sparkSession.read.format("json" if format == "jsonl" else format).options(**_FORMAT_OPTIONS[format]).load(path).schema
     fitted = [
@@ -205,7 +234,7 @@ def truncate_files(df: DataFrame, path: str, format: str = "parquet", **options)
     extra = [c for c in df.columns if c not in schema.names]
     if extra:
         raise SpecError(f"the target has no columns {', '.join(extra)}; overwrite it to change its schema")
-    replace_files(df.select(*fitted), path, format, **options)
+    replace_files(df.select(*fitted), path, format, reads_target=reads_target, **options)
 
 
 def write_run(df: DataFrame, path: str, run: int, format: str = "parquet", **options) -> None:

@@ -97,6 +97,15 @@ def test_replacing_what_is_read_and_recovering(spark, where):
     assert not path_exists(spark, path + "__previous")
 
 
+def test_replacing_without_a_rename(spark, where):
+    path = where("t")
+    write_files(spark.range(4), path)
+    replace_files(spark.read.parquet(path).where("id > 1"), path, by_rename=False)
+    assert rows(spark.read.parquet(path)) == [(2,), (3,)]
+    replace_files(spark.range(1), path, reads_target=False, by_rename=False)
+    assert rows(spark.read.parquet(path)) == [(0,)]
+
+
 def test_truncate_keeps_the_schema(spark, where):
     path = where("t")
     write_files(spark.sql("SELECT 1L AS a, 'x' AS b"), path)
