@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 from functools import reduce
 from typing import Any
 
@@ -16,7 +17,8 @@ from .types import STRING, logical_type, source_logical_type_column
 
 CATALOG_COLUMNS = (
     "schema_name string, table_name string, column_name string, ordinal int, data_type string, nullable boolean, "
-    "primary_key boolean, foreign_key string, default_value string, description string"
+    "primary_key boolean, foreign_key string, default_value string, description string, version string, "
+    "discovered_at timestamp"
 )
 
 
@@ -63,9 +65,12 @@ def discover(
     keys: Mapping[str, Mapping[str, Any]] | None = None,
     all_string: bool = False,
     counts: bool = True,
+    version: str | None = None,
 ) -> DataFrame:
     """Catalogue of named DataFrames, with the row count of each table unless ``counts`` is off.
 
+    ``version`` names the schema version; ``discovered_at`` is the (UTC) time of the call.
+
     ``keys`` declares keys per table: ``{"primary_key": [...], "foreign_keys": {column: "table.column"}}``. Columns
     come from the schemas without reading data; all counts are taken in one job. ``all_string`` reports every column
     as a string, as sampling a CSV header does.
@@ -73,7 +78,8 @@ def discover(
     rows = []
     for name, df in tables.items():
         rows += _rows(schema, name, df.schema, (keys or {}).get(name, {}), all_string)
-    columns = local_frame(spark, rows, CATALOG_COLUMNS)
+    moment = datetime.now(timezone.utc)
+    columns = local_frame(spark, [(*row, version, moment) for row in rows], CATALOG_COLUMNS)
     if not counts:
         return columns.withColumn("row_count", F.lit(None).cast("bigint"))
     counted = record_count(tables).withColumnRenamed("stream", "table_name")
@@ -95,6 +101,8 @@ def from_listing(listing: DataFrame, dialect: str) -> DataFrame:
         nothing.alias("foreign_key"),
         default.cast("string").alias("default_value"),
         nothing.alias("description"),
+        nothing.alias("version"),
+        F.current_timestamp().alias("discovered_at"),
         F.lit(None).cast("bigint").alias("row_count"),
     )
 

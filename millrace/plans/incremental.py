@@ -85,6 +85,15 @@ def parse_cursor(text: str | None, data_type: T.DataType) -> CursorValue:
     return text
 
 
+def stepped_back(value: CursorValue, lookback: float) -> CursorValue:
+    """A cursor value moved back by seconds (times) or units (numbers); text and booleans have no distance."""
+    if not lookback or isinstance(value, (str, bool)):
+        return value
+    if isinstance(value, (datetime, date)):
+        return value - timedelta(seconds=lookback)
+    return value - type(value)(lookback)
+
+
 @dataclass(frozen=True)
 class State:
     """Where the last successful run of a stream stopped."""

@@ -10,10 +10,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..columns import col
 from ..errors import SpecError
 from ..observe import FooterCount, Watch
 from ..operators.registry import apply_step, resolve_chain
-from ..sinks.checks import split_rejects
+from ..session import path_exists
+from ..sinks.checks import require_constraints, split_rejects
 from ..sinks.files import replace_files, truncate_files, write_files, write_run
 from ..sinks.jdbc import write_jdbc
 from ..sinks.singer import write_singer
@@ -23,7 +25,16 @@ from ..sources.files import prefix_path, read_files, read_prefix, s3_options
 from ..sources.jdbc import read_jdbc, stream_name
 from ..sources.singer import read_singer
 from ..sources.vendor import mongo_predicate, read_vendor
-from .incremental import State, StateStore, after_cursor, after_cursor_lenient, next_cursor, parse_cursor, sync_plan
+from .incremental import (
+    State,
+    StateStore,
+    after_cursor,
+    after_cursor_lenient,
+    next_cursor,
+    parse_cursor,
+    stepped_back,
+    sync_plan,
+)
 from .spec import DATABASES, VENDORS, RunSpec
 
 
@@ -103,7 +114,7 @@ def from_cursor(df: DataFrame, spec: RunSpec, state: State | None) -> DataFrame:
         return df
     if spec.cursor_field not in df.columns:
         return df
-    last = parse_cursor(state.cursor_value, df.schema[spec.cursor_field].dataType)
+    last = stepped_back(parse_cursor(state.cursor_value, df.schema[spec.cursor_field].dataType), spec.lookback)
     strict = spec.source["type"] in (*DATABASES, *VENDORS)
     return (after_cursor if strict else after_cursor_lenient)(df, spec.cursor_field, last)
 
@@ -144,6 +155,24 @@ def _same_place(spec: RunSpec, path: str) -> bool:
     return bool(read) and (read.startswith(path) or path.startswith(read))
 
 
+def _require(df: DataFrame, config: Mapping[str, Any], path: str, format: str, mode: str) -> None:
+    """Check the destination's declared constraints before anything is written.
+
+    An append must keep the key unique together with the rows already there. An upsert makes its key unique itself,
+    so only NULLs are checked.
+    """
+    declared = config.get("constraints")
+    if not declared:
+        return
+    not_null, key = declared.get("not_null", ()), declared.get("primary_key", ())
+    if mode == "upsert":
+        not_null, key = [*not_null, *key], ()
+    elif mode == "append" and key and path_exists(df.sparkSession, path):
+        stored = read_files(df.sparkSession, path, format, schema=df.schema)
+        df = df.select(*[col(k) for k in df.columns]).unionByName(stored, allowMissingColumns=True)
+    require_constraints(df, not_null, key)
+
+
 def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
     config = spec.destination
     name = stream_name(config) or spec.stream
@@ -154,6 +183,7 @@ def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
         path = f"{config['file_path'].rstrip('/')}/{name}"
         options = {}
     format = config.get("format", "parquet")
+    _require(df, config, path, format, mode)
     if mode == "upsert":
         if not config.get("keys") or not config.get("order_by"):
             raise SpecError("an upsert needs keys and order_by in the destination")

@@ -38,6 +38,7 @@ class RunSpec:
     transform: dict[str, Any] = field(default_factory=dict)
     sync_mode: str = "full_refresh"
     cursor_field: str | None = None
+    lookback: float = 0
 
     @classmethod
     def from_dict(cls, spec: Mapping[str, Any], connections: Mapping[Any, Mapping[str, Any]] | None = None) -> RunSpec:
@@ -45,6 +46,8 @@ class RunSpec:
 
         ``source_config`` / ``destination_config`` overlay the connection found under ``source_connection_id`` /
         ``destination_connection_id`` in ``connections``. ``replication_key`` in the source names the cursor too.
+        ``lookback`` (seconds, or units of a numeric cursor) reads that much again before the saved cursor, for rows
+        that arrive late; only an upsert can take rows twice, so it needs that sync mode.
         """
         if not spec.get("name"):
             raise SpecError("a spec needs a name")
@@ -57,6 +60,8 @@ class RunSpec:
             sides[side] = _merged(connection, spec.get(f"{side}_config"))
             _check_connector(sides[side], side)
         cursor = spec.get("cursor_field") or sides["source"].get("cursor_field") or sides["source"].get("replication_key")
+        if spec.get("lookback") and spec.get("sync_mode") != "upsert":
+            raise SpecError("lookback reads rows again, so it needs sync mode upsert")
         return cls(
             name=spec["name"],
             source=sides["source"],
@@ -64,6 +69,7 @@ class RunSpec:
             transform=dict(spec.get("transform_config") or {}),
             sync_mode=spec.get("sync_mode") or "full_refresh",
             cursor_field=cursor,
+            lookback=spec.get("lookback") or 0,
         )
 
     @property

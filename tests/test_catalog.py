@@ -34,6 +34,8 @@ def test_discovery(spark, tables):
     assert ("parents", "id", "integer", False, True, None, 2) in got
     assert ("parents", "tags", "json", True, False, None, 2) in got
     assert ("children", "parent", "integer", True, False, "parents.id.extra", 4) in got
+    assert rows(discover(spark, tables, version="v2").select("version").distinct()) == [("v2",)]
+    assert catalogue.select("discovered_at").distinct().count() == 1
     assert {r["data_type"] for r in discover(spark, tables, all_string=True).collect()} == {"string"}
 
 

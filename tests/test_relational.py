@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millrace.errors import SpecError
-from millrace.operators import asof_join, range_join, top_k_per_group
+from millrace.operators import asof_join, range_join, sql_transform, top_k_per_group
 
 small = st.one_of(st.none(), st.integers(0, 2))
 left_rows = st.lists(st.tuples(small, st.one_of(st.none(), st.integers(-5, 30))), min_size=1, max_size=12)
@@ -66,3 +66,9 @@ def test_top_k(spark):
     top = top_k_per_group(df, ["g"], [F.col("v").desc()], 2)
     assert rows(top) == [(0, 96, 2), (0, 98, 1), (1, 97, 2), (1, 99, 1)]
     assert plan(top).index("WindowGroupLimit") < plan(top).index("Exchange") < plan(top).rindex("WindowGroupLimit")
+
+
+def test_approximate_aggregates_stay_close(spark):
+    df = spark.range(20000).selectExpr("id % 5000 AS v")
+    got = sql_transform(df, "SELECT approx_count_distinct(v) AS n, approx_percentile(v, 0.5) AS m FROM data").first()
+    assert abs(got["n"] - 5000) < 500 and abs(got["m"] - 2500) < 50

@@ -11,6 +11,7 @@ from millrace.plans import RunSpec, State, StateStore, after_cursor, after_curso
 from millrace.plans.incremental import next_cursor, parse_cursor
 from millrace.runlog import RunLog
 from millrace.sinks import read_runs, write_files
+from millrace.sources import mongo_predicate
 
 
 def spec(source, target, **more):
@@ -153,6 +154,34 @@ def test_write_modes_override_the_sync_mode(spark, where, write_mode, want):
     assert [r[0] for r in rows(spark.read.parquet(where("out") + "/t"))] == want
 
 
+def test_lookback_takes_late_rows(spark, where):
+    store = StateStore(spark, where("state"))
+    target = {"keys": ["id"], "order_by": ["at"]}
+    one = spec(where("in"), where("out"), sync_mode="upsert", cursor_field="at", lookback=5, destination=target)
+    for late in ([(1, 10), (2, 20)], [(3, 18), (4, 14), (2, 20)]):
+        write_files(spark.createDataFrame(late, "id long, at long"), where("in"))
+        run(spark, one, store, raise_errors=True)
+    assert rows(spark.read.parquet(where("out") + "/t"), "id") == [(1,), (2,), (3,)]
+    with pytest.raises(SpecError):
+        spec(where("in"), where("out"), sync_mode="incremental", cursor_field="at", lookback=5)
+
+
+def test_declared_constraints_stop_a_write(spark, where):
+    write_files(spark.range(3), where("in"))
+    keyed = {"constraints": {"not_null": ["id"], "primary_key": ["id"]}}
+    one = spec(where("in"), where("out"), sync_mode="append", destination=keyed)
+    assert run(spark, one).status == "completed"
+    again = run(spark, one)
+    assert again.status == "failed" and "primary_key(id): 3 rows" in again.error
+    assert spark.read.parquet(where("out") + "/t").count() == 3
+    assert run(spark, spec(where("in"), where("out"), destination=keyed)).status == "completed"
+
+
+def test_cursor_with_a_document_filter(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "n long, s string")
+    assert rows(after_cursor(df.where(mongo_predicate({"s": "a"})), "n", 1)) == [(2, "a")]
+
+
 def test_upsert_spec(spark, where):
     write_files(spark.sql("SELECT 1L AS k, 'old' AS v UNION ALL SELECT 2L, 'old'"), where("out") + "/t")
     write_files(spark.sql("SELECT 2L AS k, 'new' AS v UNION ALL SELECT 3L, 'new'"), where("in"))

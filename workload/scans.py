@@ -76,9 +76,9 @@ def src_singer(spark, sf):
     return read_singer(spark, f"{path}/*", "conversations")
 
 
-@query("src_document_filter", "SELECT * FROM events WHERE value > 5 AND event_type IN ('view', 'click') OR user_id = 3")
+@query("src_document_filter", "SELECT * FROM events WHERE value > 5 AND event_type IN ('view', 'click') OR event_type = 'purchase' AND value <= 1")
 def src_document_filter(spark, sf):
-    wanted = {"$or": [{"value": {"$gt": 5}, "event_type": {"$in": ["view", "click"]}}, {"user_id": 3}]}
+    wanted = {"$or": [{"value": {"$gt": 5}, "event_type": {"$in": ["view", "click"]}}, {"event_type": "purchase", "value": {"$lte": 1}}]}
     return table(spark, sf, "events").where(mongo_predicate(wanted))
 
 

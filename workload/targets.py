@@ -81,12 +81,12 @@ def snk_overwrite(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("snk_truncate", "SELECT c_custkey, c_name, c_nationkey, NULL::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey < 12")
+@query("snk_truncate", "SELECT c_custkey, c_name, c_nationkey, NULL::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def snk_truncate(spark, sf):
     path = work_path(spark, "truncate")
     customers = table(spark, sf, "customer")
     write_files(customers, path)
-    truncate_files(customers.where("c_nationkey < 12").drop("c_acctbal"), path)
+    truncate_files(customers.where("c_mktsegment <> 'BUILDING'").drop("c_acctbal"), path)
     return spark.read.parquet(path)
 
 
