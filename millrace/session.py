@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # Settings for large inputs: many small reduce partitions that AQE merges up to the advisory size,
-# and skewed join partitions split at run time.
+# and skewed join partitions split at run time even where that costs another shuffle.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",

@@ -13,7 +13,7 @@ from .files import (
     write_run,
     write_streams,
 )
-from .jdbc import write_jdbc
+from .jdbc import write_jdbc, write_jdbc_streams
 from .singer import write_singer
 from .upsert import latest_per_key, merge_rows, upsert_files
 from .vendor import write_vendor
@@ -32,6 +32,7 @@ __all__ = [
     "upsert_files",
     "write_files",
     "write_jdbc",
+    "write_jdbc_streams",
     "write_json_arrays",
     "write_partitioned",
     "write_run",

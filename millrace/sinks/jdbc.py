@@ -62,3 +62,9 @@ def write_jdbc(df: DataFrame, config: Mapping[str, object], mode: str = "append"
         config = {**config, "table": config["staging_table"], "stream": None, "table_name": None}
     writer = flat.write.format("jdbc").mode(save_mode).options(**write_options(flat, config))
     writer.option("truncate", str(truncate).lower()).save()
+
+
+def write_jdbc_streams(streams: Mapping[str, DataFrame], config: Mapping[str, object], mode: str = "append") -> None:
+    """Each named DataFrame into the table of its name."""
+    for name, df in streams.items():
+        write_jdbc(df, {**config, "stream": name}, mode)

@@ -24,12 +24,14 @@ def run_arriving_files(
     format: str = "parquet",
     keys: tuple[str, ...] = (),
     order_by: tuple[str, ...] = (),
+    partition_by: tuple[str, ...] = (),
     max_files: int | None = None,
-) -> int:
-    """Take in every file not seen before, then stop; returns the number of micro-batches.
+) -> None:
+    """Take in every file not seen before, then stop.
 
     Each micro-batch is appended under its own number, or upserted when ``keys`` are given, so a batch repeated after
-    a failure leaves the same data. Transforms see one micro-batch at a time. ``max_files`` bounds a batch.
+    a failure leaves the same data. Transforms see one micro-batch at a time. ``max_files`` bounds a batch. With
+    partition columns among the keys an upsert rewrites only the partitions a batch belongs to.
     """
     if format not in ("parquet", "csv", "json", "jsonl"):
         raise SpecError(f"unsupported file format {format!r}")
@@ -42,9 +44,9 @@ def run_arriving_files(
         for name, config in steps:
             batch = apply_step(batch, name, config)
         if keys:
-            upsert_files(batch, target, keys, order_by)
+            upsert_files(batch, target, keys, order_by, partition_by)
         else:
-            write_run(batch, target, number)
+            write_run(batch, target, number, partition_by=partition_by)
 
     query = (
         reader.load(source)
@@ -56,4 +58,3 @@ def run_arriving_files(
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return sum(1 for p in query.recentProgress if p.numInputRows > 0)
