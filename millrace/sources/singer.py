@@ -37,16 +37,23 @@ def json_schema_fields(schema: dict) -> T.StructType:
     return T.StructType(fields)
 
 
+def _last(spark: SparkSession, path: str, glob: str, kind: str, field: str, stream: str | None = None) -> str | None:
+    """``field`` of the last message of a kind: files in name order, lines in file order.
+
+    Lines that cannot be of the kind are passed over before they are parsed.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    message = F.from_json("value", f"type string, stream string, {field} string")
+    found = _lines(spark, path, glob).select("value", place.alias("place")).where(F.contains("value", F.lit(f'"{kind}"')))
+    found = found.select(message.alias("m"), "place").where(F.col("m.type") == kind)
+    if stream is not None:
+        found = found.where(F.col("m.stream") == stream)
+    return found.agg(F.max_by(f"m.{field}", "place")).first()[0]
+
+
 def singer_schema(spark: SparkSession, path: str, stream: str, glob: str = "*") -> T.StructType:
-    """Schema declared for ``stream`` by a SCHEMA message of the log."""
-    message = F.from_json("value", "type string, stream string, schema string")
-    declared = (
-        _lines(spark, path, glob)
-        .select(message.alias("m"))
-        .where((F.col("m.type") == "SCHEMA") & (F.col("m.stream") == stream))
-        .agg(F.max("m.schema"))
-        .first()[0]
-    )
+    """Schema declared for ``stream`` by the last SCHEMA message about it. Looks through the log once."""
+    declared = _last(spark, path, glob, "SCHEMA", "schema", stream)
     if declared is None:
         raise SpecError(f"the log declares no schema for stream {stream!r}; pass one")
     return json_schema_fields(json.loads(declared))
@@ -55,7 +62,10 @@ def singer_schema(spark: SparkSession, path: str, stream: str, glob: str = "*")
 def read_singer(
     spark: SparkSession, path: str, stream: str, schema: T.StructType | str | None = None, glob: str = "*"
 ) -> DataFrame:
-    """Records of one stream. Lines that are not JSON, and messages of other kinds or streams, are passed over."""
+    """Records of one stream. Lines that are not JSON, and messages of other kinds or streams, are passed over.
+
+    Pass a ``schema`` for large logs: otherwise the log is read once more to find the declared one.
+    """
     fields = schema if schema is not None else singer_schema(spark, path, stream, glob)
     if isinstance(fields, str):
         fields = T.StructType.fromDDL(fields)
@@ -70,15 +80,5 @@ def read_singer(
 
 
 def read_singer_state(spark: SparkSession, path: str, glob: str = "*") -> str | None:
-    """JSON text of the last STATE message: files in name order, lines in file order."""
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    message = F.from_json("value", "type string, value string")
-    return (
-        _lines(spark, path, glob)
-        .select(message.alias("m"), place.alias("place"))
-        .where(F.col("m.type") == "STATE")
-        .agg(F.max_by("m.value", "place"))
-        .first()[0]
-    )
-
-
+    """JSON text of the last STATE message."""
+    return _last(spark, path, glob, "STATE", "value")

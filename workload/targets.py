@@ -44,7 +44,7 @@ def snk_jsonl(spark, sf):
     labels = table(spark, sf, "labels")
     labelled = table(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", "lang", "text", "quality")
     path = work_path(spark, "jsonl")
-    write_files(labelled, path, "jsonl", compression="gzip")
+    write_files(labelled, path, "jsonl")
     return read_files(spark, path, "jsonl", schema=labelled.schema)
 
 
