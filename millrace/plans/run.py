@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..columns import col
 from ..errors import SpecError
@@ -247,7 +247,9 @@ def run(
 
     try:
         df = from_cursor(read_source(spark, spec.source), spec, state)
-        cursor = next_cursor(df, spec.cursor_field).alias("cursor") if uses_cursor and spec.cursor_field in df.columns else None
+        cursor, cursor_type = None, None
+        if uses_cursor and spec.cursor_field in df.columns:
+            cursor, cursor_type = next_cursor(df, spec.cursor_field).alias("cursor"), df.schema[spec.cursor_field].dataType
         if metrics == "operators" and cursor is None and _counts_from_footers(spec.source):
             seen.append(("extract", spec.source["type"], FooterCount(df)))
         elif metrics == "operators" or cursor is not None:
@@ -260,8 +262,11 @@ def run(
         checks = spec.destination.get("quarantine")
         if checks:
             df, rejects = split_rejects(df, checks.get("not_null", ()), checks.get("checks"))
-            rejected = Watch(rejects)
-            write_files(rejected.df, checks["path"], "parquet", "append")
+            rejected = Watch(rejects.withColumn("_run_id", F.lit(run_id)))
+            if spec.sync_mode == "incremental":
+                write_run(rejected.df, checks["path"], state.run + 1)
+            else:
+                write_files(rejected.df, checks["path"])
             failed = rejected.rows
             # both passes go through the steps above, so either one answers their observations
         df = watched(df, "load", spec.destination["type"])
@@ -278,6 +283,8 @@ def run(
         for i, (kind, name, _) in enumerate(counts)
     ]
     cursor_value = next((c["cursor"] for _, _, c in counts if "cursor" in c), None)
+    if cursor is not None and state.cursor_value is not None and cursor_value is not None:
+        cursor_value = max(cursor_value, state.cursor_value, key=lambda text: parse_cursor(text, cursor_type))
     written = rows[-1]
     if store and uses_cursor:
         store.save(state.advanced(spec.cursor_field, cursor_value, written))

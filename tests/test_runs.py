@@ -138,6 +138,14 @@ def test_counts_of_steps_spark_leaves_out(spark, where):
         assert (result.records_read, result.records_written) == (10, written)
 
 
+def test_a_source_can_be_refreshed_in_place(spark, where):
+    write_files(spark.range(10), where("out") + "/t")
+    steps = chain(("filter_rows", {"predicate": "id > 6"}))
+    result = run(spark, spec(where("out") + "/t", where("out"), transform_config=steps), raise_errors=True)
+    assert (result.records_read, result.records_written) == (10, 3)
+    assert rows(spark.read.parquet(where("out") + "/t")) == [(7,), (8,), (9,)]
+
+
 def test_quarantine_counts(spark, where):
     write_files(spark.range(10), where("in"))
     target = {"quarantine": {"path": where("bad"), "checks": {"small": "id < 7"}}}
@@ -162,6 +170,10 @@ def test_lookback_takes_late_rows(spark, where):
         write_files(spark.createDataFrame(late, "id long, at long"), where("in"))
         run(spark, one, store, raise_errors=True)
     assert rows(spark.read.parquet(where("out") + "/t"), "id") == [(1,), (2,), (3,)]
+    write_files(spark.createDataFrame([(7, 17)], "id long, at long"), where("in2"))
+    moved = spec(where("in2"), where("out"), sync_mode="upsert", cursor_field="at", lookback=5, destination=target)
+    run(spark, moved, store, raise_errors=True)
+    assert store.load("n", "t").cursor_value == "20"  # a late row does not move the cursor back
     with pytest.raises(SpecError):
         spec(where("in"), where("out"), sync_mode="incremental", cursor_field="at", lookback=5)
 
