@@ -16,6 +16,7 @@ from ..columns import col
 from ..errors import SpecError
 from .casts import python_str, truthy
 
+_LITERAL_TYPES = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
 _NUMERIC = (T.LongType, T.DoubleType, T.BooleanType)
 _SPACES = r"[\s\x1c-\x1f\x85   -     　]+"
 
@@ -267,10 +268,10 @@ class _Compiler(ast.NodeVisitor):
         value = node.value
         if value is None:
             return _Value(F.lit(None), T.NullType(), field=True)
-        for python_type, spark in ((bool, T.BooleanType()), (int, T.LongType()), (float, T.DoubleType()), (str, T.StringType())):
-            if type(value) is python_type:
-                return _Value(F.lit(value).cast(spark), spark, literal=True)
-        raise SpecError(f"literal {value!r} is not supported in expressions")
+        data_type = _LITERAL_TYPES.get(type(value))
+        if data_type is None or (type(value) is int and abs(value) >= 2**63):
+            raise SpecError(f"literal {value!r} is not supported in expressions")
+        return _Value(F.lit(value).cast(data_type), data_type, literal=True)
 
     def visit_Name(self, node):
         if node.id not in self.types:

@@ -24,7 +24,7 @@ from ..sinks.vendor import write_vendor
 from ..sources.files import prefix_path, read_files, read_prefix, s3_options
 from ..sources.jdbc import read_jdbc, stream_name
 from ..sources.singer import read_singer
-from ..sources.vendor import mongo_predicate, read_vendor
+from ..sources.vendor import read_vendor
 from .incremental import (
     State,
     StateStore,
@@ -38,6 +38,8 @@ from .incremental import (
 from .spec import DATABASES, VENDORS, RunSpec
 
 
+_MODE_NAMES = {"replace": "truncate", "insert": "append"}
+
 
 @dataclass(frozen=True)
 class OperatorMetrics:
@@ -100,7 +102,8 @@ def read_source(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
             scheme=config.get("scheme", "s3a://"),
             credentials=config,
         )
-    return read_singer(spark, config["file_path"], stream_name(config), config.get("schema_ddl"), config.get("glob_pattern") or "*")
+    glob = config.get("glob_pattern") or "*"
+    return read_singer(spark, config["file_path"], stream_name(config), config.get("schema_ddl"), glob)
 
 
 def from_cursor(df: DataFrame, spec: RunSpec, state: State | None) -> DataFrame:
@@ -236,7 +239,8 @@ def run(
         raise SpecError(f"metrics must be operators or written, not {metrics!r}")
     run_id, started = uuid.uuid4().hex, datetime.now(timezone.utc)
     uses_cursor, mode = sync_plan(spec.sync_mode, spec.cursor_field)
-    mode = {"replace": "truncate", "insert": "append"}.get(spec.destination.get("write_mode"), spec.destination.get("write_mode")) or mode
+    wanted = spec.destination.get("write_mode")
+    mode = _MODE_NAMES.get(wanted, wanted) or mode
     state = store.load(spec.name, spec.stream) if store else State(spec.name, spec.stream)
     seen: list[tuple[str, str, Watch | FooterCount]] = []
 

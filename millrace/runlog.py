@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .columns import col, seconds_between
 from .errors import SpecError
-from .plans.run import RunResult
+from .plans.run import OperatorMetrics, RunResult
 from .session import local_frame, path_exists
 
 # Job statuses, and the ones that end a job.
@@ -28,6 +28,10 @@ OPERATOR_RUNS = (
 )
 
 
+def _counts(operator: OperatorMetrics) -> tuple[int, int, int]:
+    return operator.records_in, operator.records_out, operator.records_failed
+
+
 class RunLog:
     """Runs and operator runs as small files below a folder."""
 
@@ -58,7 +62,7 @@ class RunLog:
             result.completed_at, result.duration_seconds, result.error,
         )
         operators = [
-            (result.run_id, correlation, o.operator_type, o.operator_name, i, o.records_in, o.records_out, o.records_failed)
+            (result.run_id, correlation, o.operator_type, o.operator_name, i, *_counts(o))
             for i, o in enumerate(result.operators)
         ]
         for name, rows, schema in (("runs", [run], RUNS), ("operator_runs", operators, OPERATOR_RUNS)):
@@ -69,7 +73,8 @@ class RunLog:
 
 def metrics_frame(spark: SparkSession, result: RunResult) -> DataFrame:
     """The metrics of one run as a row."""
-    row = (result.name, result.status, result.records_read, result.records_processed, result.records_written, result.records_failed)
+    counts = (result.records_read, result.records_processed, result.records_written, result.records_failed)
+    row = (result.name, result.status, *counts)
     schema = (
         "name string, status string, records_read bigint, records_processed bigint, records_written bigint, "
         "records_failed bigint"
@@ -79,10 +84,7 @@ def metrics_frame(spark: SparkSession, result: RunResult) -> DataFrame:
 
 def operator_metrics_frame(spark: SparkSession, result: RunResult) -> DataFrame:
     """The metrics of each operator of one run, in order."""
-    rows = [
-        (i, o.operator_type, o.operator_name, o.records_in, o.records_out, o.records_failed)
-        for i, o in enumerate(result.operators)
-    ]
+    rows = [(i, o.operator_type, o.operator_name, *_counts(o)) for i, o in enumerate(result.operators)]
     schema = (
         "step int, operator_type string, operator_name string, records_in bigint, records_out bigint, "
         "records_failed bigint"

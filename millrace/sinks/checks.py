@@ -24,12 +24,16 @@ def check_constraints(df: DataFrame, not_null: Sequence[str] = (), primary_key:
     parts = []
     required = list(dict.fromkeys([*not_null, *primary_key]))
     nulls = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(required)])
-    listed = F.array(*[F.struct(F.lit(c).alias("columns"), F.col(f"n{i}").alias("violations")) for i, c in enumerate(required)])
-    parts.append(nulls.select(F.explode(listed).alias("c")).select(F.lit("not_null").alias("constraint"), "c.columns", "c.violations"))
+    listed = F.array(
+        *[F.struct(F.lit(c).alias("columns"), F.col(f"n{i}").alias("violations")) for i, c in enumerate(required)]
+    )
+    nulls = nulls.select(F.explode(listed).alias("c"))
+    parts.append(nulls.select(F.lit("not_null").alias("constraint"), "c.columns", "c.violations"))
     if primary_key:
         per_key = df.groupBy(*[col(k) for k in primary_key]).agg(F.count(F.lit(1)).alias("n"))
         extra = per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
-        parts.append(extra.select(F.lit("primary_key").alias("constraint"), F.lit(",".join(primary_key)).alias("columns"), "violations"))
+        named = F.lit(",".join(primary_key)).alias("columns")
+        parts.append(extra.select(F.lit("primary_key").alias("constraint"), named, "violations"))
     return reduce(DataFrame.unionByName, parts)
 
 

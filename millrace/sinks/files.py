@@ -227,7 +227,8 @@ def replace_files(
 
 def truncate_files(df: DataFrame, path: str, format: str = "parquet", reads_target: bool = True, **options) -> None:
     """Replace the rows of ``path`` but keep its columns and types; columns ``df`` lacks become NULL."""
-    schema = df.sparkSession.read.format("json" if format == "jsonl" else format).options(**_FORMAT_OPTIONS[format]).load(path).schema
+    reader = df.sparkSession.read.format("json" if format == "jsonl" else format)
+    schema = reader.options(**_FORMAT_OPTIONS[format]).load(path).schema
     fitted = [
         (col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
     ]

@@ -40,7 +40,8 @@ def merge_rows(target: DataFrame, latest: DataFrame, keys: Sequence[str]) -> Dat
     The target side of an anti join may be split where it is skewed, so a hot key stays spread out. Spark broadcasts
     the keys when their size allows.
     """
-    kept = target.join(latest.select(*[col(k) for k in keys]), list(keys), "left_anti").select(*[col(c) for c in target.columns])
+    kept = target.join(latest.select(*[col(k) for k in keys]), list(keys), "left_anti")
+    kept = kept.select(*[col(c) for c in target.columns])
     return kept.unionByName(latest, allowMissingColumns=True)
 
 

@@ -89,7 +89,7 @@ def test_unknown_name_changes_nothing(frame):
 
 @pytest.mark.parametrize(
     "text",
-    ["len(s)", "__import__('os')", "s.format(a)", "[c for c in s]", "lambda: 1", "a +", "s.replace('', 'x')", "a & b", "f'{a:>5}'", "f'{a!r}'", "s.split('')", "s.upper('x')", "s.count('')"],
+    ["len(s)", "__import__('os')", "s.format(a)", "[c for c in s]", "lambda: 1", "a +", "s.replace('', 'x')", "a & b", "f'{a:>5}'", "f'{a!r}'", "s.split('')", "s.upper('x')", "s.count('')", "a + 99999999999999999999", "b'x'"],
 )
 def test_unsupported_expressions_are_refused_when_built(frame, text):
     with pytest.raises(SpecError):
