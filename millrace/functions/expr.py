@@ -105,7 +105,7 @@ def _arithmetic(op: ast.operator, left: _Value, right: _Value, right_node: ast.e
             if _is(text, T.StringType) and _is(times, T.LongType, T.BooleanType):
                 return _Value(F.repeat(text.column, times.column.cast("int")), T.StringType())
     if not (_is(left, *_NUMERIC) and _is(right, *_NUMERIC)):
-        return _null(T.DoubleType())
+        return _null()  # an error on every row
     a, b = _as_number(left), _as_number(right)
     if isinstance(op, ast.Div):
         return _Value(F.try_divide(_as_double(a), _as_double(b)), T.DoubleType())
@@ -288,7 +288,7 @@ class _Compiler(ast.NodeVisitor):
         if isinstance(node.op, ast.Not):
             return _Value(~value.truth(), T.BooleanType())
         if not _is(value, *_NUMERIC):
-            return _null(T.DoubleType())
+            return _null()
         number = _as_number(value)
         if isinstance(node.op, ast.UAdd):
             return _Value(number.column, number.type)
@@ -340,6 +340,8 @@ class _Compiler(ast.NodeVisitor):
                 continue
             operands.append(self.visit(right))
             tests.append(self._compare(op, left, operands[-1]))
+        if any(_is(o, T.NullType) and not o.field for o in operands):
+            return _null()
         return _Value(_all_of(tests), T.BooleanType())
 
     def _compare(self, op, left: _Value, right: _Value) -> Column:
@@ -459,7 +461,7 @@ class _Compiler(ast.NodeVisitor):
             raise SpecError(f"method {name!r} is not supported in expressions")
         kind, build = _METHODS[name]
         if not _is(value, T.StringType):
-            return _null(kind)
+            return _null()
         try:
             result = build(value.column, *arguments)
         except TypeError:  # more arguments than the builder takes

@@ -84,6 +84,8 @@ def test_failed_rows_keep_the_old_value(frame):
 
 def test_unknown_name_changes_nothing(frame):
     assert compute_expression(frame, "x", "nope + 1").collect()[0]["x"] == 1.5
+    for text in ("nope * 2", "-nope", "nope > 1", "a.upper()", "s - 1"):
+        assert compute_expression(frame, "a", text).schema["a"] == frame.schema["a"]
     assert compute_expression(frame, "new", "nope + 1").collect()[0]["new"] is None
 
 
