@@ -62,11 +62,12 @@ def repeated_anchors(keyed_docs: DataFrame, unit: str, window: int, gram: int) -
     """Every chosen place whose gram occurs again, written: doc_id, th, pos, h, c, branching, the first occurrence
     (first_doc, first_th, first_pos) by document and place, and whether this one is ``later``."""
     table = written(keyed_docs.mapInArrow(anchor_rows(unit, window, gram), ANCHOR), "anchors")
-    grams = (
+    grams = written(  # written, so that a gram that many documents share is a skewed join, which Spark splits
         table.groupBy("h")
         .agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("doc_id", "th", "pos")).alias("first"))
         .where("n > 1")
-        .select(F.col("h").alias("gram"), (F.col("low") != F.col("high")).alias("branching"), "first")
+        .select(F.col("h").alias("gram"), (F.col("low") != F.col("high")).alias("branching"), "first"),
+        "grams",
     )
     again = table.join(grams, table.h == grams.gram).select(
         "doc_id", "th", "pos", "h", "c", "branching",
@@ -74,7 +75,7 @@ def repeated_anchors(keyed_docs: DataFrame, unit: str, window: int, gram: int) -
         (~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first"))).alias("later"),
     )
     out = written(again, "repeated")
-    forget(table)
+    forget(table, grams)
     return out
 
 
