@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.substring_dedup import remove_repeated_words
 from millrace.llm.suffix_dedup import remove_repeated_bytes
 
@@ -28,6 +29,11 @@ def op1_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op6_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op8_substring_dedup(spark, sf_dir):
     out = remove_repeated_words(table(spark, sf_dir, "documents"))
