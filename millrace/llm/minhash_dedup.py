@@ -3,8 +3,8 @@
 One hash of each shingle gives both its bin and its value; an empty bin borrows from a bin it picks by hash, the same
 one in every document that has it. Documents of one set are one class before anything is compared. Classes that agree
 in a band share a bucket, and a bucket gives a star: its most connected class against the others, confirmed on full
-sets. A star alone can miss links between its leaves, so buckets whose leaves ended in different components go into
-another round with other centres, until no bucket holds an untested pair of different components.
+sets. A star alone can miss links between its leaves. Classes of buckets that stars left in different components are
+therefore joined once more, exactly, on their rarest shingles, with bounds that spare nearly all pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from millrace.llm.components import components
 from millrace.llm.repeats import beside, keyed
 from millrace.llm.stage import forget, texts_of, written
 
-CENTRES = 4
-
 
 def shingles(texts: K.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of ``size`` lower-cased words, sorted within each text, and their offsets by text.
@@ -118,22 +116,67 @@ def overlap_rows(size: int):
     return rows
 
 
-def candidates(buckets: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """The most connected classes of each bucket as its centres, and the pairs of centres with the bucket's others."""
-    order = Window.partitionBy("k").orderBy(F.desc("degree"), "cls")
-    chosen = written(
-        buckets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres).select(F.col("k").alias("k2"), F.col("cls").alias("centre"), F.col("label").alias("own")),
-        "centres",
-    )
-    pairs = (
-        buckets.join(chosen, buckets.k == chosen.k2)
-        .where("cls <> centre AND label <> own")
-        .select(F.least("cls", "centre").alias("low"), F.greatest("cls", "centre").alias("high"), "centre")
-        .groupBy("low", "high")
+def gram_rows(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in K.slices(batch.column("text")):
+                h, offsets = shingles(texts, size)
+                n = np.diff(offsets)
+                own = pa.array(np.repeat(np.arange(texts.n), n) + texts.first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("cls").take(own), batch.column("label").take(own), pa.array(np.repeat(n, n)), K.signed(h)], ["cls", "label", "n", "h"]
+                )
+
+    return rows
+
+
+def compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) of classes with the sizes of intersection and union of their full sets, written."""
+    right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    return written(both.mapInArrow(overlap_rows(size), "a long, b long, common long, total long"), "compared")
+
+
+def stars(buckets: DataFrame) -> DataFrame:
+    """Each class of a bucket paired with the bucket's most connected class, each pair once."""
+    centres = written(buckets.groupBy(F.col("k").alias("k2")).agg(F.max(F.struct("degree", "cls")).alias("top")).select("k2", F.col("top.cls").alias("centre")), "centres")
+    return (
+        buckets.join(centres, buckets.k == centres.k2)
+        .where("cls <> centre")
+        .groupBy(F.least("cls", "centre").alias("low"), F.greatest("cls", "centre").alias("high"))
         .agg(F.max("centre").alias("a"))
         .select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
     )
-    return chosen, pairs
+
+
+def leaf_pairs(leaves: DataFrame, size: int, percent: int) -> DataFrame:
+    """Every pair of ``leaves`` (cls, label, text) of different labels that can reach the threshold, each once.
+
+    With shingles in one order, rarest first, linked sets share one among their first; its place in both bounds what
+    they can have in common. The bound is checked first against the best place of a shingle, then in the join.
+    """
+    grams = written(leaves.mapInArrow(gram_rows(size), "cls long, label long, n long, h long"), "grams")
+    common = grams.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("cls").orderBy("df", "h")
+    ranked = (
+        grams.join(common, F.col("h") == F.col("h2"), "left")
+        .select("cls", "label", "n", "h", F.coalesce("df", F.lit(1)).alias("df"))
+        .withColumn("rest", F.col("n") - F.row_number().over(order) + 1)
+        .where(F.col("df") > 1)
+        .where(F.col("rest") * 100 >= F.col("n") * percent)
+        .select("cls", "label", "n", "h", "rest")
+    )
+    first = written(ranked, "first_grams")
+    best = first.groupBy(F.col("h").alias("h2")).agg(F.max(F.col("rest") / F.col("n")).alias("best"), F.count("*").alias("sharing")).where("sharing > 1")
+    bound = 1 / (F.col("n") / F.col("rest") + 1 / F.col("best") - 1)
+    able = written(first.join(best, F.col("h") == F.col("h2")).where(bound * 100 >= percent - 1e-6).select("cls", "label", "n", "h", "rest"), "able_grams")
+    other = able.select(F.col("cls").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("rest").alias("rest_b"))
+    able_to = F.least("rest", "rest_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    pairs = able.join(other, (F.col("h") == F.col("h_b")) & (F.col("cls") < F.col("b")) & (F.col("label") != F.col("label_b")) & able_to)
+    out = written(pairs.select(F.col("cls").alias("a"), "b").distinct(), "leaf_pairs")
+    forget(grams, first, able)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 20, rows_per_band: int = 4) -> DataFrame:
@@ -160,40 +203,22 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     shared = banded.groupBy("k").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("k", "k2")
     meetings = written(banded.join(shared, banded.k == shared.k2).select("k", "cls", "size"), "meetings")
     degrees = meetings.groupBy(F.col("cls").alias("cls2")).agg(F.sum("size").alias("degree"))
-    buckets = written(meetings.join(degrees, F.col("cls") == F.col("cls2")).select("k", "cls", "degree", F.col("cls").alias("label")), "buckets")
+    buckets = written(meetings.join(degrees, F.col("cls") == F.col("cls2")).select("k", "cls", "degree"), "buckets")
     met = meetings.select("cls").distinct().join(classes, "cls").select("cls", "one.doc_id", "one.th")
     texts = written(beside(d, met, "inner").select("cls", "text"), "texts")
-    forget(meetings)
-    tested, linked, labels, centres = None, [], None, 1
-    while not buckets.isEmpty():
-        chosen, pairs = candidates(buckets, centres)
-        if tested is not None:
-            pairs = pairs.join(tested.select(F.col("low").alias("l2"), F.col("high").alias("h2")), (F.least("a", "b") == F.col("l2")) & (F.greatest("a", "b") == F.col("h2")), "left_anti")
-        right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-        left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-        compared = written(
-            pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(overlap_rows(size), "a long, b long, common long, total long"), "compared"
-        )
-        now = compared.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        tested = now if tested is None else tested.unionByName(now)
-        linked.append(compared.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
-        edges = linked[0]
-        for more in linked[1:]:
-            edges = edges.unionByName(more)
-        labels = components(edges)
-        open_ = (
-            buckets.drop("label")
-            .join(chosen, (buckets.k == chosen.k2) & (buckets.cls == chosen.centre), "left_anti")
-            .join(labels, F.col("cls") == F.col("node"), "left")
-            .select("k", "cls", "degree", F.coalesce("label", "cls").alias("label"))
-        )
-        mixed = open_.groupBy(F.col("k").alias("k3")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        left_over = written(open_.join(mixed, F.col("k") == F.col("k3")).select("k", "cls", "degree", "label"), "buckets")
-        forget(buckets, chosen)
-        buckets, centres = left_over, CENTRES
-    if labels is None:
-        labels = buckets.select(F.col("cls").alias("node"), "label")
-    forget(texts)
+    compared = compare(stars(buckets), texts, size)
+    near = F.col("common") * 100 >= F.col("total") * percent
+    edges = compared.where(near).select("a", "b")
+    labels = components(edges)
+    placed = buckets.join(labels, F.col("cls") == F.col("node"), "left").select("k", "cls", F.coalesce("label", "cls").alias("label"))
+    torn = placed.groupBy(F.col("k").alias("k2")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    leaves = written(placed.join(torn, placed.k == torn.k2).select("cls", "label").distinct(), "leaves")
+    pairs = leaf_pairs(texts.join(leaves, "cls").select("cls", "label", "text"), size, percent)
+    seen = compared.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    more = compare(pairs.join(seen, (pairs.a == seen.low) & (pairs.b == seen.high), "left_anti"), texts, size).where(near).select("a", "b")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
+    forget(meetings, buckets, texts, leaves, pairs)
     own = classes.join(labels, F.col("cls") == F.col("node"), "left").select(F.col("cls").alias("of"), F.coalesce("label", "cls").alias("component"), F.struct("one.no_id", "one.doc_id", "one.th").alias("one"))
     firsts = own.groupBy(F.col("component").alias("c2")).agg(F.min("one").alias("first"))
     placed = written(own.join(firsts, F.col("component") == F.col("c2")).select("of", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th")), "placed")
