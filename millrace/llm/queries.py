@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.sentencepiece_lattice import encode_documents
 from millrace.llm.substring_dedup import remove_repeated_words
 from millrace.llm.suffix_dedup import remove_repeated_bytes
+from millrace.llm.token_files import read_token_files, write_token_files
+from millrace.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +42,15 @@ def op6_minhash_dedup(spark, sf_dir):
 def op8_substring_dedup(spark, sf_dir):
     out = remove_repeated_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_token_files(spark, sf_dir):
+    folder = work_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return read_token_files(spark, folder)
+
+
+@query
+def op9_sentencepiece(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
