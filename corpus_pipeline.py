@@ -4,15 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm.decontamination import without_leaks
+from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.sentencepiece_lattice import encode_documents
 from millrace.llm.stage import written
+from millrace.llm.suffix_dedup import remove_repeated_bytes
+from millrace.llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-ORACLE_SQL = None  # SQL cannot express the stages; tests compare each with a plain version
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents predicted toxic."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by a similarity of 0.8 on sequences of five words."""
+    kept = near_duplicates(docs, size=5, percent=80, bands=30).where("kept").select(F.col("doc_id").alias("kept_doc"), F.col("th").alias("kept_th"))
+    th = F.xxhash64(F.coalesce(docs.text, F.lit("")))
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_doc) & (th == kept.kept_th), "left_semi")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut strings of 200 bytes that occur more than once out of the texts; all documents stay."""
+    out = remove_repeated_bytes(docs, whole_characters=True, rest=docs.columns)
+    text = F.when(F.col("rest.text").isNotNull(), F.col("kept").cast("string"))
+    fresh = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return out.select(*[fresh.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every text."""
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+ORACLE_SQL = None  # SQL cannot express the stages; tests compare them with plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,11 +92,11 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Texts]:
 class Words:
     """The words of some texts: byte ``start`` and ``end``, the ``owner`` text of each, ``offsets`` by text, hashes."""
 
-    def __init__(self, texts: Texts, lower: bool = False):
+    def __init__(self, texts: Texts, lower: bool = False, white: np.ndarray = WHITE):
         data = LOWER[texts.data] if lower else texts.data
         edge = np.zeros(len(data) + 1, bool)
         edge[texts.offsets] = True
-        dark = ~WHITE[data]
+        dark = ~white[data]
         before = np.empty(len(data), bool)
         before[:1] = False
         before[1:] = dark[:-1]
@@ -108,7 +108,13 @@ class Words:
         self.offsets = np.searchsorted(self.start, texts.offsets)
         self.owner = np.repeat(np.arange(texts.n), np.diff(self.offsets))
         self.counts = np.diff(self.offsets)
-        self.hash = span_hash(prefix(_values[data]), self.start, self.end) if len(data) else np.zeros(0, np.uint64)
+        self.sums = prefix(_values[data])
+        self.hash = span_hash(self.sums, self.start, self.end)
+
+    def stems(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of each word; a word no longer than that has 0."""
+        long = self.end - self.start > size
+        return np.where(long, span_hash(self.sums, self.start, np.minimum(self.start + size, self.end)), np.uint64(0))
 
 
 def byte_prefix(texts: Texts) -> np.ndarray:

@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm.decontamination import leaks
+from millrace.llm.hmm import language_scores
 from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.quality import quality
 from millrace.llm.sentencepiece_lattice import encode_documents
 from millrace.llm.substring_dedup import remove_repeated_words
 from millrace.llm.suffix_dedup import remove_repeated_bytes
 from millrace.llm.token_files import read_token_files, write_token_files
+from millrace.llm.topk import top_k
+from millrace.llm.toxicity import toxicity
 from millrace.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +59,42 @@ def op7_token_files(spark, sf_dir):
 @query
 def op9_sentencepiece(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_decontamination(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_hmm_scores(spark, sf_dir):
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""

@@ -20,9 +20,9 @@ from millrace.llm.stage import forget, written
 ANCHOR = "doc_id long, th long, pos int, h long, c long"
 
 
-def keyed(texts: DataFrame) -> DataFrame:
+def keyed(texts: DataFrame, *others: str) -> DataFrame:
     """Id, text and a hash of the text: rows that share an id but not the text stay apart."""
-    return texts.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return texts.select("doc_id", "text", *others, F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
 
 
 def symbols(texts: K.Texts, unit: str) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ boundaries of its blocks by their hashes, pre-aggregated in each block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -204,12 +204,14 @@ def kept_rows(window: int, gram: int, whole_characters: bool):
                     removed.append(sum(b - a for a, b in cuts))
                     spans.append([{"start": a, "end": b} for a, b in cuts])
                 own = batch.slice(texts.first, texts.n)
+                rest = [own.column("rest")] if "rest" in batch.schema.names else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.column("doc_id"), own.column("th"), pa.array(kept, pa.binary()), pa.array(texts.lengths.astype(np.int64)), pa.array(removed, pa.int64()),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                        *rest,
                     ],
-                    ["doc_id", "th", "kept", "n_bytes", "n_removed", "spans"],
+                    ["doc_id", "th", "kept", "n_bytes", "n_removed", "spans", "rest"][: 6 + len(rest)],
                 )
 
     return rows
@@ -224,14 +226,14 @@ def inner(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 64, block: int = 1 << 16, whole_characters: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 64, block: int = 1 << 16, whole_characters: bool = False, rest: Sequence[str] = ()) -> DataFrame:
     """Documents without the bytes that any string of ``window`` bytes covers which also starts elsewhere.
 
     Elsewhere is any other document, or any other place of the same one; overlaps count, matches never cross
     documents, every occurrence goes, and strings are judged on the input. Returns doc_id, th (a hash of the text),
     ``kept`` (binary), n_bytes, n_removed and the removed runs as ``spans`` in bytes, one row per input row.
     ``whole_characters`` leaves bytes at the ends of a run that belong to a character outside it, so that ``kept``
-    stays UTF-8.
+    stays UTF-8. The columns named in ``rest`` come along as a struct of that name.
 
     A null text is empty. A text shorter than the window is kept. Repeated rows are separate documents, so each is a
     repetition of the other. A null doc_id is an id like others. Other columns are ignored. No rows give no rows.
@@ -268,6 +270,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 64, bl
         "removed",
     )
     forget(again, around, found)
-    return beside(d, removed, "left").mapInArrow(
-        kept_rows(window, gram, whole_characters), "doc_id long, th long, kept binary, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>"
-    )
+    schema = "doc_id long, th long, kept binary, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>"
+    if rest:
+        others = F.struct(*[F.col(f"`{c}`") for c in rest])
+        d = keyed(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), others.alias("rest")), "rest")
+        schema += f", rest {d.schema['rest'].dataType.simpleString()}"
+    return beside(d, removed, "left").mapInArrow(kept_rows(window, gram, whole_characters), schema)
