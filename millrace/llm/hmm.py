@@ -21,8 +21,8 @@ END_CLASS = 72
 CLASSES = END_CLASS + 1
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 SEGMENT = 2048  # words between restarts while training; scores never restart
-BLOCK = 2_000_000  # tokens held at once while training
-HELD = 2_000_000  # distinct words held at once while counting
+BLOCK = 1_000_000  # tokens held at once while training
+HELD = 1_000_000  # distinct words held at once while counting
 
 
 def word_classes(texts: K.Texts, words: K.Words) -> np.ndarray:
@@ -89,10 +89,14 @@ class Layout:
         longest = int(self.lengths[0]) if len(lengths) else 0
         self.active = np.searchsorted(-self.lengths, -np.arange(longest), "left")
         self.first = np.r_[0, np.cumsum(self.active)]
-        step = np.repeat(np.arange(longest), self.active)
-        rank = np.arange(len(flat)) - self.first[step]
-        self.symbols = flat[starts[rank] + step]
-        self.step, self.rank = step, rank
+        self.symbols = np.empty(len(flat), np.uint8)
+        for t, n in enumerate(self.active.tolist()):
+            self.symbols[self.first[t] : self.first[t] + n] = flat[starts[:n] + t]
+
+    def steps_and_ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Step and place among the sequences, longest first, of each symbol."""
+        step = np.repeat(np.arange(len(self.active)), self.active)
+        return step, np.arange(len(step)) - self.first[step]
 
 
 def forward(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +113,19 @@ def forward(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray)
     return alpha, scale
 
 
+def log_likelihoods(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each sequence, in the order they were given; only the last step is held."""
+    by_symbol, total, before = emit.T, np.zeros(len(seqs.lengths)), None
+    for t, n in enumerate(seqs.active.tolist()):
+        now = by_symbol[seqs.symbols[seqs.first[t] : seqs.first[t] + n]] * (start if before is None else before[:n] @ move)
+        scale = now.sum(axis=1)
+        before = now / scale[:, None]
+        total[:n] += np.log10(scale)
+    out = np.empty_like(total)
+    out[seqs.order] = total
+    return out
+
+
 def expected(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
     """Expected counts of starts, moves and emissions."""
     alpha, scale = forward(seqs, start, move, emit)
@@ -119,8 +136,9 @@ def expected(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray
         n, a, b = steps[t + 1], seqs.first[t], seqs.first[t + 1]
         beta[a : a + n] = (weighted[b : b + n] * beta[b : b + n]) @ move.T
     gamma = alpha * beta
-    later = np.flatnonzero(seqs.step > 0)
-    before = seqs.first[seqs.step[later] - 1] + seqs.rank[later]
+    step, rank = seqs.steps_and_ranks()
+    later = np.flatnonzero(step > 0)
+    before = seqs.first[step[later] - 1] + rank[later]
     moves = move * (alpha[before].T @ (weighted[later] * beta[later]))
     emits = np.stack([np.bincount(seqs.symbols, weights=gamma[:, k], minlength=CLASSES) for k in range(len(start))])
     return gamma[: steps[0]].sum(axis=0), moves, emits
@@ -192,7 +210,7 @@ def score_rows(start, move, emit, sizes, end_count, words_total, words_distinct)
         h = counts.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         h, c = h[order], counts.column("c").to_numpy()[order]
-        classes, lengths, logs, known = [], [], [], []
+        classes, lengths, logs, known, in_class = [], [], [], [], []
         for texts in K.slices(docs.column("text")):
             words = K.Words(texts, lower=True)
             if len(h):
@@ -200,18 +218,14 @@ def score_rows(start, move, emit, sizes, end_count, words_total, words_distinct)
                 n = np.where(h[at] == words.hash, c[at], 0)
             else:
                 n = np.zeros(len(words.hash), np.int64)
+            cls = word_classes(texts, words)
             logs.append(np.bincount(words.owner, weights=np.log10(n + 0.1), minlength=texts.n) + np.log10(end_count + 0.1))
-            known.append(np.bincount(words.owner, weights=n > 0, minlength=texts.n).astype(np.int64) + (end_count > 0))
+            known.append(np.bincount(words.owner, weights=n > 0, minlength=texts.n).astype(np.int64) + int(end_count > 0))
+            in_class.append(np.bincount(words.owner, weights=per_class[cls], minlength=texts.n) + per_class[END_CLASS])
             lengths.append(words.counts + 1)
-            classes.append(np.insert(word_classes(texts, words), words.offsets[1:], END_CLASS))
-        lengths, logs, known = np.concatenate(lengths), np.concatenate(logs), np.concatenate(known)
-        flat = np.concatenate(classes)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        in_class = np.bincount(owner, weights=per_class[flat], minlength=len(lengths))
-        seqs = Layout(flat, lengths)
-        _, scale = forward(seqs, start, move, emit)
-        path = np.zeros(len(lengths))
-        path[seqs.order] = np.bincount(seqs.rank, weights=np.log10(scale), minlength=len(lengths))
+            classes.append(np.insert(cls, words.offsets[1:], END_CLASS))
+        lengths, logs, known, in_class = (np.concatenate(x) for x in (lengths, logs, known, in_class))
+        path = log_likelihoods(Layout(np.concatenate(classes), lengths), start, move, emit)
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": lengths, "n_known": known,
@@ -225,7 +239,7 @@ def score_rows(start, move, emit, sizes, end_count, words_total, words_distinct)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def language_scores(docs: DataFrame, states: int = 4, steps: int = 2, folds: int = 10, chunk_bytes: int = 32 << 20) -> DataFrame:
+def language_scores(docs: DataFrame, states: int = 4, steps: int = 2, folds: int = 10, chunk_bytes: int = 16 << 20) -> DataFrame:
     """The log10 probability of every whole text under a hidden Markov model and under smoothed word counts.
 
     Documents whose crc32(doc_id as text) is divisible by ``folds`` are held out, the others train. Tokens are words
