@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 
 
 class Lexicon:
@@ -18,28 +18,32 @@ class Lexicon:
 
     def clear(self) -> None:
         self.index: dict = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        self.size = 0
+
+    def add(self, new: list) -> None:
+        ids = self.encode(new)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, total = len(self.index), int(lengths.sum())
+        self.index.update(zip(new, range(first, first + len(new))))
+        self.starts, self.lengths = (with_room(x, len(self.index)) for x in (self.starts, self.lengths))
+        self.flat = with_room(self.flat, self.size + total)
+        self.starts[first : len(self.index)] = self.size + np.cumsum(lengths) - lengths
+        self.lengths[first : len(self.index)] = lengths
+        self.flat[self.size : self.size + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        self.size += total
 
     def places(self, words: list) -> np.ndarray:
         """The number of each word in this lexicon."""
         if len(self.index) > MOST_WORDS:
             self.clear()
         get = self.index.get
-        found = [get(w, -1) for w in words]
-        new = list(dict.fromkeys(w for w, p in zip(words, found) if p < 0))
-        if new:
-            ids = self.encode(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new))))
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
-            self.lengths = np.r_[self.lengths, lengths]
-            self.flat = np.r_[self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))]
-            get = self.index.get
-            found = [get(w) for w in words]
-        return np.array(found, np.int64)
+        found = np.array([get(w, -1) for w in words], np.int64)
+        missing = [words[i] for i in np.flatnonzero(found < 0).tolist()]
+        if missing:
+            self.add(list(dict.fromkeys(missing)))
+            found[found < 0] = [get(w) for w in missing]
+        return found
 
     def ids(self, words: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the offsets of texts that have ``counts`` words each."""
@@ -49,6 +53,15 @@ class Lexicon:
         return flat, ends[np.r_[0, np.cumsum(counts)]]
 
 
+def with_room(values: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy of twice the size or more if ``size`` does not fit."""
+    if size <= len(values):
+        return values
+    out = np.zeros(max(size, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that begin at ``starts``, one after the other."""
     before = np.cumsum(lengths) - lengths

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -41,11 +43,51 @@ def lexicon(tokenizer: str) -> Lexicon:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(tokenizer)
-        _lexicons[tokenizer] = Lexicon(lambda words: [e.ids for e in own.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
+        _lexicons[tokenizer] = Lexicon(WordEncoder(Tokenizer.from_file(tokenizer)))
     return _lexicons[tokenizer]
 
 
+class WordEncoder:
+    """Encodes distinct words, many in one call where their ids can be told apart.
+
+    The pre-tokenizer's pattern gives the number of parts of a word, and the last id of each part is one of the
+    vocabulary's word ends. Words outside Latin letters, or that might hold a special token, are encoded one by one.
+    """
+
+    CHUNK = 500
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        own = json.loads(tokenizer.to_str())
+        suffix, patterns = own["model"].get("end_of_word_suffix"), re.findall(r'"Regex": "((?:[^"\\]|\\.)*)"', json.dumps(own["pre_tokenizer"]))
+        self.pattern = regex.compile(json.loads(f'"{patterns[0]}"')) if suffix and len(patterns) == 1 else None
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.special = [t["content"][:1] for t in own["added_tokens"]]
+
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        out: list = [None] * len(texts)
+        plain = []
+        if self.pattern is not None:
+            plain = [i for i, t in enumerate(texts) if (t.isascii() or max(t) < "\u0250") and not any(s in t for s in self.special)]
+        for a in range(0, len(plain), self.CHUNK):
+            rows = plain[a : a + self.CHUNK]
+            parts = np.array([len(self.pattern.findall(texts[i].lower())) for i in rows])
+            ids = self.tokenizer.encode(" ".join([texts[i] for i in rows]), add_special_tokens=False).ids
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != parts.sum() or (len(ids) and last[-1] != len(ids)):
+                continue
+            ends = np.r_[0, last][np.cumsum(parts)].tolist()
+            for i, start, end in zip(rows, [0, *ends], ends):
+                out[i] = ids[start:end]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+
 def shard_rows(tokenizer: str, end_id: int, kind: str, folder: str):
     """Write a partition, sorted by doc_id, as one shard. An attempt has files of its own; the row returned names them."""
 
