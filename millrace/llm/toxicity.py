@@ -38,7 +38,7 @@ STEM = 6  # bytes
 REACH = 3  # words over which a negation holds
 PATTERNS = 24  # insult, threat or slur x aimed x negated x reported
 BREAKS = np.zeros(256, bool)
-BREAKS[[*b".!?;:\n"]] = True
+BREAKS[[*b".!?;\n"]] = True  # not a colon, which may lead into reported speech
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), ord("'")]] = False
 
