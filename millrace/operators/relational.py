@@ -99,7 +99,10 @@ def range_join(
 
     Each range is listed once per bucket of ``width`` it touches, so the join is an equi-join on the bucket with the
     exact bounds as residual filter; nothing is compared across buckets. Choose ``width`` near the usual range length.
+    ``how`` is inner, left, left_semi or left_anti: a range listed in several buckets has no single unmatched row.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise SpecError(f"range_join has no {how!r} form")
     _same_line((points, point), (ranges, low), (ranges, high))
     step = F.lit(float(width))
     first = F.floor(_number(ranges, low) / step)

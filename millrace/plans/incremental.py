@@ -56,9 +56,11 @@ def after_cursor_lenient(df: DataFrame, cursor_field: str | None, last: CursorVa
 
 
 def next_cursor(df: DataFrame, cursor_field: str) -> Column:
-    """Aggregate giving the cursor to save, as text that :func:`parse_cursor` reads back exactly."""
+    """Aggregate giving the cursor to save, as text that :func:`parse_cursor` reads back exactly. NaN is no cursor."""
     value = F.max(col(cursor_field))
     data_type = df.schema[cursor_field].dataType
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        value = F.max(F.when(~F.isnan(col(cursor_field)), col(cursor_field)))
     if isinstance(data_type, T.TimestampType):
         value = F.unix_micros(value)
     return value.cast("string")

@@ -113,10 +113,10 @@ def from_cursor(df: DataFrame, spec: RunSpec, state: State | None) -> DataFrame:
     query is filtered on its result.
     """
     uses_cursor, _ = sync_plan(spec.sync_mode, spec.cursor_field)
+    if uses_cursor and spec.cursor_field not in df.columns:
+        raise SpecError(f"cursor_field {spec.cursor_field!r} is not a column of the source")
     if not uses_cursor or state is None or state.cursor_value is None:
         return df
-    if spec.cursor_field not in df.columns:
-        return df
     last = stepped_back(parse_cursor(state.cursor_value, df.schema[spec.cursor_field].dataType), spec.lookback)
     strict = spec.source["type"] in (*DATABASES, *VENDORS)
     return (after_cursor if strict else after_cursor_lenient)(df, spec.cursor_field, last)

@@ -124,7 +124,7 @@ def job_history(
     status: str | None = None,
     correlation_id: str | None = None,
     skip: int = 0,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """A page of jobs, newest first; of jobs created together the one with the greater id first."""
     found = _where_equal(jobs, {"pipeline_id": pipeline_id, "status": status, "correlation_id": correlation_id})
@@ -200,7 +200,7 @@ def alert_list(
     pipeline_id: int | None = None,
     job_id: int | None = None,
     skip: int = 0,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """A page of alerts, newest first."""
     found = _where_equal(alerts, {"status": status, "level": level, "pipeline_id": pipeline_id, "job_id": job_id})

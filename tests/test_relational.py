@@ -72,3 +72,10 @@ def test_approximate_aggregates_stay_close(spark):
     df = spark.range(20000).selectExpr("id % 5000 AS v")
     got = sql_transform(df, "SELECT approx_count_distinct(v) AS n, approx_percentile(v, 0.5) AS m FROM data").first()
     assert abs(got["n"] - 5000) < 500 and abs(got["m"] - 2500) < 50
+
+
+def test_range_join_refuses_forms_that_repeat_ranges(spark):
+    r = spark.createDataFrame([(0, 40)], "lo long, hi long")
+    for how in ("right", "full"):
+        with pytest.raises(SpecError):
+            range_join(spark.range(3), r, "id", "lo", "hi", 10, how=how)

@@ -218,7 +218,7 @@ def alert_list(spark, sf):
         F.lit("pending").alias("status"),
         F.col("ts").alias("timestamp"),
     )
-    return runlog.alert_list(alerts, status="pending", level="error")
+    return runlog.alert_list(alerts, status="pending", level="error", limit=100)
 
 
 @query(
