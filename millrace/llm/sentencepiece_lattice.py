@@ -24,6 +24,7 @@ from millrace.llm.stage import texts_of
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 UNKNOWN, NONE = -2, -1
+SLOTS = 1 << 20
 _code = np.random.default_rng(99).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _models: dict = {}
 
@@ -72,6 +73,7 @@ class Model:
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(ids, np.int64)[order]
         self.apart: dict[tuple[int, int], bool] = {}
+        self.slot_keys, self.slot_apart = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)  # the pairs met last, by hash
 
     @staticmethod
     def substrings(codes: np.ndarray) -> np.ndarray:
@@ -82,10 +84,10 @@ class Model:
         whole = K.mix(sums[:, :, -1:])
         return np.concatenate([sums, whole], axis=2)
 
-    def piece_at(self, sums: np.ndarray, start: int, end: int) -> np.ndarray:
-        """The piece that is the substring of each row, or NONE."""
+    def piece_at(self, before: np.ndarray, until: np.ndarray, start: int) -> np.ndarray:
+        """The piece that is the substring of each row, or NONE; from the prefix sums at its ``start`` and its end."""
         _, down = K.powers(start + 1)
-        h = K.mix((sums[:, end] - sums[:, start]) * down[start])
+        h = K.mix((until - before) * down[start])
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.key_ids[at], NONE)
 
@@ -106,19 +108,28 @@ class Model:
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the merges leave two pieces apart; NONE or UNKNOWN on the left stands for a boundary."""
         key = (left + 2) * (len(self.scores) + 2) + right
-        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        out = np.empty(len(distinct), bool)
-        for k, (a, b) in enumerate(zip(left[first].tolist(), right[first].tolist())):
-            known = self.apart.get((a, b))
-            if known is None:
-                right_text = self.texts[b]
-                if a < 0:
-                    known = self.merged(right_text) == [right_text]
-                else:
-                    known = self.texts[a] + right_text not in self.pieces and self.merged(self.texts[a] + right_text) == [self.texts[a], right_text]
-                self.apart[a, b] = known
-            out[k] = known
-        return out[inverse]
+        slot = (K.mix(key.astype(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        known = self.slot_keys[slot] == key
+        out = self.slot_apart[slot]
+        new = np.flatnonzero(~known)
+        if len(new):
+            distinct, first, inverse = np.unique(key[new], return_index=True, return_inverse=True)
+            first = new[first]
+            found = np.array([self.pair_apart(a, b) for a, b in zip(left[first].tolist(), right[first].tolist())])
+            out[new] = found[inverse]
+            self.slot_keys[slot[first]], self.slot_apart[slot[first]] = distinct, found
+        return out
+
+    def pair_apart(self, left: int, right: int) -> bool:
+        known = self.apart.get((left, right))
+        if known is None:
+            text = self.texts[right]
+            if left < 0:
+                known = self.merged(text) == [text]
+            else:
+                known = self.texts[left] + text not in self.pieces and self.merged(self.texts[left] + text) == [self.texts[left], text]
+            self.apart[left, right] = known
+        return known
 
     def encode(self, units: list[str]) -> list[list[int]]:
         """Ids of units: runs of spaces (as U+2581) and the characters up to the next."""
@@ -143,15 +154,21 @@ class Model:
         best[:, 0] = 0
         piece = np.full((n, length + 1), NONE, np.int64)
         back = np.zeros((n, length + 1), np.int32)
+        reached = [np.arange(n)]
         for end in range(1, length + 1):
+            until = sums[:, end]
             for start in range(max(0, end - self.longest), end):
-                ids = self.piece_at(sums, start, end)
-                if start == end - 1:
-                    ids = np.where(ids == NONE, UNKNOWN, ids)
-                rows = np.flatnonzero((ids != NONE) & (best[:, start] > -np.inf))
+                rows = reached[start]
                 if not len(rows):
                     continue
-                own = ids[rows]
+                own = self.piece_at(sums[rows, start], until[rows], start)
+                if start == end - 1:
+                    own[own == NONE] = UNKNOWN
+                else:
+                    kept = np.flatnonzero(own != NONE)
+                    if not len(kept):
+                        continue
+                    rows, own = rows[kept], own[kept]
                 real = own >= 0
                 if self.merges:
                     ok = ~real
@@ -163,18 +180,40 @@ class Model:
                 better = score > best[rows, end]
                 rows, own = rows[better], own[better]
                 best[rows, end], piece[rows, end], back[rows, end] = score[better], own, start
-        for r in range(n):
-            ids: list[int] = []
-            end = length
-            while end:
-                start, p = int(back[r, end]), int(piece[r, end])
-                if p >= 0:
-                    ids.append(p)
-                else:
-                    raw = units[r][start:end].encode("utf-8", "replace")
-                    ids += [self.bytes.get(b, self.unknown) for b in reversed(raw)] if self.bytes else [self.unknown]
-                end = start
-            yield ids[::-1]
+            reached.append(np.flatnonzero(best[:, end] > -np.inf))
+        return self.traced(units, piece, back)
+
+    def traced(self, units: list[str], piece: np.ndarray, back: np.ndarray) -> Iterator[list[int]]:
+        """The ids of all paths, followed from their ends one piece at a time."""
+        n, end = len(units), np.full(len(units), piece.shape[1] - 1)
+        rows, steps = np.arange(n), []
+        count, odd = np.zeros(n, np.int64), np.zeros(n, bool)
+        while len(rows):
+            own = piece[rows, end[rows]]
+            step = np.full(n, NONE, np.int64)
+            step[rows] = own
+            steps.append(step)
+            odd[rows[own < 0]] = True
+            count[rows] += 1
+            end[rows] = back[rows, end[rows]]
+            rows = rows[end[rows] > 0]
+        paths = np.stack(steps[::-1], axis=1).tolist() if steps else [[]] * n
+        for r, (path, size, unknown) in enumerate(zip(paths, count.tolist(), odd.tolist())):
+            yield self.with_bytes(units[r], piece[r], back[r]) if unknown else path[len(path) - size :]
+
+    def with_bytes(self, unit: str, piece: np.ndarray, back: np.ndarray) -> list[int]:
+        """The ids of one path, characters without a piece as their bytes."""
+        ids: list[int] = []
+        end = len(unit)
+        while end:
+            start, p = int(back[end]), int(piece[end])
+            if p >= 0:
+                ids.append(p)
+            else:
+                raw = unit[start:end].encode("utf-8", "replace")
+                ids += [self.bytes.get(b, self.unknown) for b in reversed(raw)] if self.bytes else [self.unknown]
+            end = start
+        return ids[::-1]
 
 
 def codes_of(units: list[str], length: int) -> np.ndarray:
