@@ -61,20 +61,28 @@ class WordEncoder:
         own = json.loads(tokenizer.to_str())
         suffix, patterns = own["model"].get("end_of_word_suffix"), re.findall(r'"Regex": "((?:[^"\\]|\\.)*)"', json.dumps(own["pre_tokenizer"]))
         self.pattern = regex.compile(json.loads(f'"{patterns[0]}"')) if suffix and len(patterns) == 1 else None
+        self.run_of_letters = self.pattern is not None and "[\\p{L}]+" in self.pattern.pattern
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
-        self.special = [t["content"][:1] for t in own["added_tokens"]]
+        special = {t["content"][:1] for t in own["added_tokens"] if t["content"]}
+        self.odd = re.compile(f"[{''.join(map(re.escape, sorted(special)))}\u0250-\U0010ffff]")
+
+    def parts(self, text: str) -> int:
+        if self.run_of_letters and text.isalpha() and text.isascii():
+            return 1
+        return len(self.pattern.findall(text.lower()))
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
         texts = [w.decode("utf-8", "replace") for w in words]
         out: list = [None] * len(texts)
         plain = []
         if self.pattern is not None:
-            plain = [i for i, t in enumerate(texts) if (t.isascii() or max(t) < "\u0250") and not any(s in t for s in self.special)]
+            odd = self.odd.search
+            plain = [i for i, t in enumerate(texts) if odd(t) is None]
         for a in range(0, len(plain), self.CHUNK):
             rows = plain[a : a + self.CHUNK]
-            parts = np.array([len(self.pattern.findall(texts[i].lower())) for i in rows])
+            parts = np.array([self.parts(texts[i]) for i in rows])
             ids = self.tokenizer.encode(" ".join([texts[i] for i in rows]), add_special_tokens=False).ids
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != parts.sum() or (len(ids) and last[-1] != len(ids)):
