@@ -84,10 +84,18 @@ def _floor_div(a: _Value, b: _Value) -> Column:
 
 
 def _power(a: _Value, b: _Value, exponent: object) -> _Value:
-    if _is(a, T.LongType) and isinstance(exponent, int) and 0 <= exponent <= 16:
-        result = F.when(a.column.isNotNull(), F.lit(1).cast("bigint"))
-        for _ in range(exponent):
-            result = F.try_multiply(result, a.column)
+    if _is(a, T.LongType) and isinstance(exponent, int) and exponent >= 0:
+        one = F.lit(1).cast("bigint")
+        if exponent > 63:  # only -1, 0 and 1 stay within 64 bits
+            sign = F.lit(-1 if exponent % 2 else 1).cast("bigint")
+            return _Value(F.when(a.column.isin(0, 1), a.column).when(a.column == -1, sign), T.LongType())
+        result, square = F.when(a.column.isNotNull(), one), a.column
+        while exponent:
+            if exponent % 2:
+                result = F.try_multiply(result, square)
+            exponent //= 2
+            if exponent:
+                square = F.try_multiply(square, square)
         return _Value(result, T.LongType())
     base, power = _as_double(a), _as_double(b)
     result = F.pow(base, power)
@@ -257,7 +265,8 @@ _TIME_PARTS = {"hour": F.hour, "minute": F.minute, "second": F.second}
 
 
 class _Compiler(ast.NodeVisitor):
-    def __init__(self, schema: T.StructType):
+    def __init__(self, schema: T.StructType, strict: bool = False):
+        self.strict = strict  # refuse what would be an error on every row
         self.types = {f.name: _widen(f.dataType) for f in schema.fields}
         self.raw = {f.name: f.dataType for f in schema.fields}
 
@@ -275,6 +284,8 @@ class _Compiler(ast.NodeVisitor):
 
     def visit_Name(self, node):
         if node.id not in self.types:
+            if self.strict:
+                raise SpecError(f"unknown field {node.id!r}; one of {', '.join(self.types)}")
             return _null()  # an unknown name is an error on every row
         column = col(node.id)
         widened = self.types[node.id]
@@ -355,6 +366,8 @@ class _Compiler(ast.NodeVisitor):
         if isinstance(op, ast.NotEq):
             return ~_equal(left, right)
         if _is(left, T.NullType) or _is(right, T.NullType) or not _same_family(left, right):
+            if self.strict and not _is(left, T.NullType) and not _is(right, T.NullType):
+                raise SpecError(f"{left.type.simpleString()} and {right.type.simpleString()} have no order")
             return F.lit(None).cast("boolean")
         greater = left if isinstance(op, (ast.Gt, ast.GtE)) else right
         return _unless_nan(_ORDERINGS[type(op)](*_comparable(left, right)), greater)
@@ -504,5 +517,8 @@ def compile_expression(expression: str, schema: T.StructType) -> tuple[Column, T
 
 
 def compile_predicate(expression: str, schema: T.StructType) -> Column:
-    """Truth of an expression; rows on which it raises or is None do not pass."""
-    return _Compiler(schema).predicate(_parse(expression))
+    """Truth of an expression; rows on which it raises or is None do not pass.
+
+    Unknown fields and orderings of types that have none would fail on every row and are refused.
+    """
+    return _Compiler(schema, strict=True).predicate(_parse(expression))

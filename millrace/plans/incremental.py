@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, replace
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
@@ -41,7 +42,16 @@ def after_cursor(df: DataFrame, cursor_field: str, last: CursorValue) -> DataFra
     """
     if last is None:
         return df
-    return df.where(col(cursor_field) > _last(last, df.schema[cursor_field].dataType))
+    return with_cursor(df, cursor_field, col(cursor_field) > _last(last, df.schema[cursor_field].dataType))
+
+
+def with_cursor(df: DataFrame, cursor_field: str, test: Column | None = None) -> DataFrame:
+    """Rows that have a cursor value (and pass ``test``, which NULL does not). NaN is no cursor."""
+    value = col(cursor_field)
+    test = value.isNotNull() if test is None else test
+    if isinstance(df.schema[cursor_field].dataType, (T.FloatType, T.DoubleType)):
+        test = test & ~F.isnan(value)
+    return df.where(test)
 
 
 def after_cursor_lenient(df: DataFrame, cursor_field: str | None, last: CursorValue) -> DataFrame:
@@ -91,8 +101,10 @@ def stepped_back(value: CursorValue, lookback: float) -> CursorValue:
     """A cursor value moved back by seconds (times) or units (numbers); text and booleans have no distance."""
     if not lookback or isinstance(value, (str, bool)):
         return value
-    if isinstance(value, (datetime, date)):
+    if isinstance(value, datetime):
         return value - timedelta(seconds=lookback)
+    if isinstance(value, date):
+        return value - timedelta(days=math.ceil(lookback / 86_400))
     return value - type(value)(lookback)
 
 
@@ -158,6 +170,26 @@ _SYNC = {
 }
 
 
+# Other names of write modes, and the modes a sync mode may be combined with. A mode left out would
+# lose rows (an overwrite with only the new ones) or double them.
+_MODE_NAMES = {"replace": "truncate", "insert": "append"}
+_MODES = {
+    "full_refresh": ("overwrite", "truncate", "append", "upsert"),
+    "append": ("append",),
+    "incremental": ("append", "upsert"),
+    "upsert": ("upsert",),
+}
+
+
+def write_mode_of(sync_mode: str, cursor_field: str | None, wanted: str | None) -> str:
+    """The write mode of a sync, or the ``wanted`` one if it fits."""
+    _, mode = sync_plan(sync_mode, cursor_field)
+    mode = _MODE_NAMES.get(wanted, wanted) or mode
+    if mode not in _MODES[sync_mode]:
+        raise SpecError(f"write mode {wanted!r} does not fit sync mode {sync_mode!r}; one of {', '.join(_MODES[sync_mode])}")
+    return mode
+
+
 def sync_plan(sync_mode: str, cursor_field: str | None) -> tuple[bool, str]:
     """(read from the cursor on, write mode) of a sync mode."""
     if sync_mode not in _SYNC:

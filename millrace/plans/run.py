@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from ..observe import FooterCount, Watch
 from ..operators.registry import apply_step, resolve_chain
 from ..session import path_exists
 from ..sinks.checks import require_constraints, split_rejects
-from ..sinks.files import replace_files, truncate_files, write_files, write_run
+from ..sinks.files import layouts, replace_files, truncate_files, write_files, write_run
 from ..sinks.jdbc import write_jdbc
 from ..sinks.singer import write_singer
 from ..sinks.upsert import upsert_files
@@ -34,13 +35,12 @@ from .incremental import (
     parse_cursor,
     stepped_back,
     sync_plan,
+    with_cursor,
+    write_mode_of,
 )
 from .spec import DATABASES, VENDORS, RunSpec
 
 
-_MODE_NAMES = {"replace": "truncate", "insert": "append"}
-
-
 @dataclass(frozen=True)
 class OperatorMetrics:
     """Rows into and out of one step of a run."""
@@ -89,6 +89,9 @@ def read_source(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
             glob=config.get("glob_pattern") or "*",
             schema=config.get("schema_ddl"),
             options=config.get("options"),
+            skip_bad=bool(config.get("skip_bad")),
+            merge_schema=bool(config.get("merge_schema")),
+            missing_ok=bool(config.get("missing_ok")),
         )
     if kind == "s3":
         return read_prefix(
@@ -101,6 +104,10 @@ def read_source(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
             schema=config.get("schema_ddl"),
             scheme=config.get("scheme", "s3a://"),
             credentials=config,
+            options=config.get("options"),
+            skip_bad=bool(config.get("skip_bad")),
+            merge_schema=bool(config.get("merge_schema")),
+            missing_ok=bool(config.get("missing_ok")),
         )
     glob = config.get("glob_pattern") or "*"
     return read_singer(spark, config["file_path"], stream_name(config), config.get("schema_ddl"), glob)
@@ -109,16 +116,20 @@ def read_source(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
 def from_cursor(df: DataFrame, spec: RunSpec, state: State | None) -> DataFrame:
     """The part of a source the saved state has not covered yet.
 
-    Databases and warehouses compare strictly; files and object stores keep rows that cannot be compared. A custom
-    query is filtered on its result.
+    Databases and warehouses compare strictly; files and object stores keep rows that cannot be compared. Appending
+    those on every run would double them, so an incremental sync takes rows without a cursor value on its first run
+    only; use upsert where such rows may arrive later. A custom query is filtered on its result.
     """
     uses_cursor, _ = sync_plan(spec.sync_mode, spec.cursor_field)
     if uses_cursor and spec.cursor_field not in df.columns:
         raise SpecError(f"cursor_field {spec.cursor_field!r} is not a column of the source")
+    appends = spec.sync_mode == "incremental"
+    if uses_cursor and appends and state is not None and state.run and state.cursor_value is None:
+        return with_cursor(df, spec.cursor_field)
     if not uses_cursor or state is None or state.cursor_value is None:
         return df
     last = stepped_back(parse_cursor(state.cursor_value, df.schema[spec.cursor_field].dataType), spec.lookback)
-    strict = spec.source["type"] in (*DATABASES, *VENDORS)
+    strict = appends or spec.source["type"] in (*DATABASES, *VENDORS)
     return (after_cursor if strict else after_cursor_lenient)(df, spec.cursor_field, last)
 
 
@@ -155,6 +166,7 @@ def _same_place(spec: RunSpec, path: str) -> bool:
         read = prefix_path(source["bucket"], source.get("prefix"), stream_name(source), source.get("scheme", "s3a://"))
     else:
         read = str(source.get("file_path") or "")
+    read, path = (re.sub(r"^(s3[an]?|file):/*", "", p).lstrip("/") for p in (read, path))
     return bool(read) and (read.startswith(path) or path.startswith(read))
 
 
@@ -208,6 +220,8 @@ def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
         truncate_files(df, path, format, reads_target=_same_place(spec, path), **layout)
     elif spec.sync_mode == "incremental":
         write_run(df, path, state.run + 1, format, **layout)
+    elif layouts(df.sparkSession, path)[0]:
+        raise SpecError(f"{path} holds the numbered runs of an incremental sync; a plain append would hide its rows")
     else:
         write_files(df, path, format, **layout)
 
@@ -238,9 +252,7 @@ def run(
     if metrics not in ("operators", "written"):
         raise SpecError(f"metrics must be operators or written, not {metrics!r}")
     run_id, started = uuid.uuid4().hex, datetime.now(timezone.utc)
-    uses_cursor, mode = sync_plan(spec.sync_mode, spec.cursor_field)
-    wanted = spec.destination.get("write_mode")
-    mode = _MODE_NAMES.get(wanted, wanted) or mode
+    uses_cursor, _ = sync_plan(spec.sync_mode, spec.cursor_field)
     state = store.load(spec.name, spec.stream) if store else State(spec.name, spec.stream)
     seen: list[tuple[str, str, Watch | FooterCount]] = []
 
@@ -250,6 +262,7 @@ def run(
         return watch.df
 
     try:
+        mode = write_mode_of(spec.sync_mode, spec.cursor_field, spec.destination.get("write_mode"))
         df = from_cursor(read_source(spark, spec.source), spec, state)
         cursor, cursor_type = None, None
         if uses_cursor and spec.cursor_field in df.columns:

@@ -4,6 +4,7 @@ from .checks import check_constraints, require_constraints, split_rejects, write
 from .files import (
     ensure_target,
     publish,
+    read_partitioned,
     read_runs,
     replace_files,
     truncate_files,
@@ -24,6 +25,7 @@ __all__ = [
     "latest_per_key",
     "merge_rows",
     "publish",
+    "read_partitioned",
     "read_runs",
     "replace_files",
     "require_constraints",

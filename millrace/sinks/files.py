@@ -17,6 +17,7 @@ FORMATS = ("parquet", "csv", "json", "jsonl", "avro")
 _NTZ_WRITE = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _TEXT_WRITE = {"timestampNTZFormat": _NTZ_WRITE, "timestampFormat": _NTZ_WRITE + "XXX"}
 _COPYING_STORES = ("s3a://", "s3://", "s3n://", "gs://")
+_DIR = "__dir"
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
 
@@ -124,9 +125,22 @@ def write_json_arrays(
 def write_partitioned(
     df: DataFrame, path: str, fields: Sequence[str], format: str = "parquet", mode: str = "append", rebalance: bool = True
 ) -> None:
-    """One ``field=value`` directory level per field, with ``/`` and spaces in values replaced by ``_``."""
-    clean = {name: F.translate(F.coalesce(col(name).cast("string"), F.lit("None")), "/ ", "__") for name in fields}
-    write_files(df.withColumns(clean), path, format, mode, partition_by=fields, rebalance=rebalance)
+    """One ``field__dir=value`` directory level per field, with ``/`` and spaces in values replaced by ``_``.
+
+    The directories are named by copies; the files keep the fields themselves. :func:`read_partitioned` leaves the
+    copies out, and a filter on a copy prunes directories.
+    """
+    clean = {name + _DIR: F.translate(F.coalesce(col(name).cast("string"), F.lit("None")), "/ ", "__") for name in fields}
+    write_files(df.withColumns(clean), path, format, mode, partition_by=list(clean), rebalance=rebalance)
+
+
+def read_partitioned(
+    spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None
+) -> DataFrame:
+    """What :func:`write_partitioned` wrote, with the values as they were."""
+    reader = spark.read.format("json" if format == "jsonl" else format).options(**_FORMAT_OPTIONS[format])
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
+    return df.drop(*[c for c in df.columns if c.endswith(_DIR)])
 
 
 def write_streams(
@@ -142,7 +156,7 @@ def write_streams(
     single pass.
     """
     if isinstance(streams, DataFrame):
-        write_partitioned(streams, base, [stream_column], format, mode)
+        write_files(streams, base, format, mode, partition_by=[stream_column])
         return
     for name, df in streams.items():
         write_files(df, f"{base.rstrip('/')}/{name}", format, mode)
@@ -238,13 +252,27 @@ def truncate_files(df: DataFrame, path: str, format: str = "parquet", reads_targ
     replace_files(df.select(*fitted), path, format, reads_target=reads_target, **options)
 
 
-def write_run(df: DataFrame, path: str, run: int, format: str = "parquet", **options) -> None:
-    """Append as run number ``run``. Repeating a run replaces what it wrote before, so retries add no duplicates."""
+def layouts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """(whether ``path`` holds numbered runs, whether it holds other data)."""
+    fs, inside = hadoop_path(spark, path.rstrip("/") + "/_run=*")
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/[^_.]*")
+    return bool(fs.globStatus(inside)), bool(fs.globStatus(plain))
+
+
+def write_run(df: DataFrame, path: str, run: int | str, format: str = "parquet", **options) -> None:
+    """Append as run ``run``. Repeating a run replaces what it wrote before, so retries add no duplicates.
+
+    Refused where other files lie beside the runs: readers of the one layout do not see the other.
+    """
+    if layouts(df.sparkSession, path)[1]:
+        raise SpecError(f"{path} holds files outside numbered runs; read_runs would not see them")
     write_files(df, f"{path.rstrip('/')}/_run={run}", format, mode="overwrite", **options)
 
 
 def read_runs(spark: SparkSession, path: str, format: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Rows of all runs below ``path``."""
+    """Rows of all runs below ``path``; refused if other files lie beside them."""
+    if all(layouts(spark, path)):
+        raise SpecError(f"{path} holds numbered runs and other files")
     reader = spark.read.format("json" if format == "jsonl" else format).options(**_FORMAT_OPTIONS[format])
     if schema is not None:
         reader = reader.schema(schema)

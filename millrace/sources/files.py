@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import SpecError
+from ..session import hadoop_path
 
 # JSON and CSV keep microseconds and zone-free timestamps only when told to.
 NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
@@ -22,7 +23,7 @@ _FORMAT_OPTIONS = {
     "json": {"multiLine": True, **TEXT_OPTIONS},
     "jsonl": dict(TEXT_OPTIONS),
 }
-_NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+_NO_FILES = "UNABLE_TO_INFER_SCHEMA"
 
 
 def read_files(
@@ -35,14 +36,17 @@ def read_files(
     skip_bad: bool = False,
     merge_schema: bool = False,
     options: Mapping[str, object] | None = None,
+    missing_ok: bool = False,
 ) -> DataFrame:
     """Rows of a file, or of the files of a directory whose names match ``glob``.
 
     ``json`` is one document per file (an array gives a row per element, an object one row) and cannot be split;
     ``jsonl`` is one object per line. Pass a ``schema`` for large text inputs: without one Spark reads them an extra
     time to infer it. CSV fields may hold line breaks; for files known not to, ``options={"multiLine": False}``
-    makes them splittable. A path that holds nothing gives an empty DataFrame with ``schema``. ``skip_bad`` leaves
-    out unreadable files and malformed lines instead of failing.
+    makes them splittable. A directory without matching files gives an empty DataFrame with ``schema``; a path that
+    does not exist is an error unless ``missing_ok``, which reads what exists. Unreadable files and malformed JSON fail;
+    ``skip_bad`` leaves out such files and lines. To keep malformed lines apart, name a string column of ``schema`` for
+    them: ``options={"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ...}``.
     """
     format = format.lower()
     if format not in _FORMAT_OPTIONS:
@@ -62,14 +66,26 @@ def read_files(
         reader = reader.option("ignoreCorruptFiles", True)
         if format not in ("parquet", "avro"):
             reader = reader.option("mode", "DROPMALFORMED")
+    elif format in ("json", "jsonl"):
+        reader = reader.option("mode", "FAILFAST")
     reader = reader.options(**(options or {}))
+    paths = [path] if isinstance(path, str) else list(path)
+    if missing_ok:
+        paths = [p for p in paths if _matches(spark, p)]
     try:
-        return reader.load(path if isinstance(path, str) else list(path))
+        if paths:
+            return reader.load(paths)
     except AnalysisException as error:
-        if error.getCondition() not in _NOTHING_THERE:
+        if error.getCondition() != _NO_FILES:
             raise
-        empty = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        return spark.createDataFrame([], empty or T.StructType([]))
+    empty = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.createDataFrame([], empty or T.StructType([]))
+
+
+def _matches(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, leads to anything."""
+    fs, jpath = hadoop_path(spark, path)
+    return bool(fs.globStatus(jpath))
 
 
 def s3_options(config: Mapping[str, object]) -> dict[str, str]:
@@ -98,11 +114,14 @@ def read_prefix(
     format: str = "parquet",
     glob: str = "*",
     schema: T.StructType | str | None = None,
-    skip_bad: bool = True,
+    skip_bad: bool = False,
     scheme: str = "s3a://",
     credentials: Mapping[str, object] | None = None,
+    options: Mapping[str, object] | None = None,
+    merge_schema: bool = False,
+    missing_ok: bool = False,
 ) -> DataFrame:
-    """Every object below ``prefix/stream``, at any depth. Unreadable objects are skipped unless told otherwise."""
+    """Every object below ``prefix/stream``, at any depth. Unreadable objects fail the read unless ``skip_bad``."""
     if format not in ("parquet", "csv", "json", "jsonl"):
         raise SpecError(f"unsupported object format {format!r}")
     return read_files(
@@ -113,7 +132,9 @@ def read_prefix(
         schema=schema,
         recursive=True,
         skip_bad=skip_bad,
-        options=s3_options(credentials or {}),
+        merge_schema=merge_schema,
+        options={**s3_options(credentials or {}), **(options or {})},
+        missing_ok=missing_ok,
     )
 
 

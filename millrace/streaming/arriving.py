@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
@@ -29,7 +30,7 @@ def run_arriving_files(
 ) -> None:
     """Take in every file not seen before, then stop.
 
-    Each micro-batch is appended under its own number, or upserted when ``keys`` are given, so a batch repeated after
+    Each micro-batch is appended under the checkpoint's id and its own number, or upserted when ``keys`` are given, so a batch repeated after
     a failure leaves the same data. Transforms see one micro-batch at a time. ``max_files`` bounds a batch. With
     partition columns among the keys an upsert rewrites only the partitions a batch belongs to.
     """
@@ -46,7 +47,8 @@ def run_arriving_files(
         if keys:
             upsert_files(batch, target, keys, order_by, partition_by)
         else:
-            write_run(batch, target, number, partition_by=partition_by)
+            about = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]  # one line: the id of the checkpoint
+            write_run(batch, target, f"{json.loads(about)['id']}-{number}", partition_by=partition_by)
 
     query = (
         reader.load(source)

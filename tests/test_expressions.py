@@ -98,6 +98,15 @@ def test_unsupported_expressions_are_refused_when_built(frame, text):
         compute_expression(frame, "new", text)
 
 
+def test_large_powers_stay_exact(spark):
+    frame = spark.createDataFrame([(2,), (-2,), (-1,), (3,), (None,)], "a long")
+    for power in (17, 39, 62, 63, 64, 101):
+        out = compute_expression(frame, "p", f"a ** {power}")
+        assert dict(out.dtypes)["p"] == "bigint"
+        want = {a: a**power if -(2**63) <= a**power < 2**63 else None for a in (2, -2, -1, 3)}
+        assert {r["a"]: r["p"] for r in out.collect()} == {**want, None: None}
+
+
 @pytest.mark.parametrize("text", ["a > 2", "s", "f", "a / b > 1", "s and a > 0", "not f", "x", "a == None", "s.startswith('a') or a < 0"])
 def test_filters_keep_what_python_keeps(frame, text):
     kept = {r["i"] for r in filter_rows(frame, text).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import SpecError
 from millrace.plans import RunSpec, State, StateStore, after_cursor, after_cursor_lenient, build, run, sync_plan
-from millrace.plans.incremental import next_cursor, parse_cursor
+from millrace.plans.incremental import next_cursor, parse_cursor, stepped_back
 from millrace.runlog import RunLog
 from millrace.sinks import read_runs, write_files
 from millrace.sources import mongo_predicate
@@ -162,6 +162,53 @@ def test_write_modes_override_the_sync_mode(spark, where, write_mode, want):
     assert [r[0] for r in rows(spark.read.parquet(where("out") + "/t"))] == want
 
 
+@pytest.mark.parametrize(
+    "sync_mode, write_mode",
+    [("incremental", "overwrite"), ("incremental", "truncate"), ("append", "overwrite"), ("append", "upsert"), ("upsert", "append"), ("upsert", "replace")],
+)
+def test_write_modes_that_would_lose_or_double_rows_are_refused(spark, where, sync_mode, write_mode):
+    write_files(spark.range(2), where("in"))
+    write_files(spark.range(2), where("out") + "/t")
+    target = {"write_mode": write_mode, "keys": ["id"], "order_by": ["id"]}
+    result = run(spark, spec(where("in"), where("out"), sync_mode=sync_mode, cursor_field="id", destination=target))
+    assert result.status == "failed" and "does not fit" in result.error
+    assert spark.read.parquet(where("out") + "/t").count() == 2
+
+
+def test_rows_without_a_cursor_value_are_appended_once(spark, where):
+    store = StateStore(spark, where("state"))
+    one = spec(where("in"), where("out"), sync_mode="incremental", cursor_field="c")
+    write_files(spark.createDataFrame([(None,), (float("nan"),)], "c double"), where("in"))
+    for late, total in ((None, 2), (None, 2), (1.0, 3), (None, 3)):
+        if late:
+            write_files(spark.createDataFrame([(late,)], "c double"), where("in"))
+        run(spark, one, store, raise_errors=True)
+        assert read_runs(spark, where("out") + "/t").count() == total
+
+
+def test_a_mistyped_filter_fails_and_leaves_the_target(spark, where):
+    write_files(spark.sql("SELECT 1L AS id, 'x' AS s"), where("in"))
+    assert run(spark, spec(where("in"), where("out"))).status == "completed"
+    for predicate in ("idd > 0", "id > '0'", "s < 1"):
+        result = run(spark, spec(where("in"), where("out"), transform_config=chain(("filter_rows", {"predicate": predicate}))))
+        assert result.status == "failed"
+        assert spark.read.parquet(where("out") + "/t").count() == 1
+
+
+def test_runs_and_plain_files_do_not_mix(spark, where):
+    write_files(spark.range(3), where("in"))
+    assert run(spark, spec(where("in"), where("out"), sync_mode="incremental", cursor_field="id")).status == "completed"
+    assert "numbered runs" in run(spark, spec(where("in"), where("out"), sync_mode="append")).error
+    assert run(spark, spec(where("in"), where("out"))).status == "completed"
+    assert "numbered runs" in run(spark, spec(where("in"), where("out"), sync_mode="incremental", cursor_field="id")).error
+    assert spark.read.parquet(where("out") + "/t").count() == 3
+
+
+def test_lookback_on_dates_is_rounded_up():
+    assert stepped_back(date(2024, 1, 10), 36 * 3600) == date(2024, 1, 8)
+    assert stepped_back(date(2024, 1, 10), 3600) == date(2024, 1, 9)
+
+
 def test_lookback_takes_late_rows(spark, where):
     store = StateStore(spark, where("state"))
     target = {"keys": ["id"], "order_by": ["at"]}
@@ -229,7 +276,10 @@ def test_spec_shapes_and_errors():
 
 
 def test_failed_runs_are_reported_and_logged(spark, where):
-    result = run(spark, spec(where("nothing"), where("out"), transform_config=chain(("duckdb_sql_transformer", {"sql_query": "SELECT nope FROM data"}))))
+    absent = run(spark, spec(where("nothing"), where("out")))
+    assert absent.status == "failed" and "PATH_NOT_FOUND" in absent.error
+    write_files(spark.range(1), where("one"))
+    result = run(spark, spec(where("one"), where("out"), transform_config=chain(("duckdb_sql_transformer", {"sql_query": "SELECT nope FROM data"}))))
     assert result.status == "failed" and "nope" in result.error
     log = RunLog(spark, where("log"))
     assert log.runs().count() == 0

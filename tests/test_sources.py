@@ -56,8 +56,13 @@ def test_glob_directory_and_nothing_there(spark, tmp_path):
         put(tmp_path / "d", f"p{n}.jsonl", f'{{"a": {n}}}')
     put(tmp_path / "d", "q.txt", "no json")
     assert rows(read_files(spark, str(tmp_path / "d"), "jsonl", glob="p*")) == [(1,), (2,)]
-    empty = read_files(spark, str(tmp_path / "none"), "parquet", schema="a long, b string")
+    nothing = str(tmp_path / "none")
+    empty = read_files(spark, nothing, "parquet", schema="a long, b string", missing_ok=True)
     assert empty.columns == ["a", "b"] and empty.count() == 0
+    for absent in (nothing, [str(tmp_path / "d"), nothing]):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            read_files(spark, absent, "jsonl", glob="p*", schema="a long").collect()
+    assert rows(read_files(spark, [str(tmp_path / "d"), nothing], "jsonl", glob="p*", schema="a long", missing_ok=True)) == [(1,), (2,)]
     assert read_files(spark, str(tmp_path / "d"), "parquet", glob="*.parquet", schema="a long").count() == 0
     with pytest.raises(SpecError):
         read_files(spark, str(tmp_path), "xml")
@@ -75,10 +80,18 @@ def test_prefix_reads_every_level_and_skips_bad_objects(spark, tmp_path):
     spark.range(3).write.parquet(str(base / "2024" / "01"))
     spark.range(2).write.parquet(str(base / "2024" / "02"))
     put(base, "broken.parquet", "not parquet at all")
-    df = read_prefix(spark, str(tmp_path / "bucket"), "landing", "s", scheme="", schema="id long")
+    df = read_prefix(spark, str(tmp_path / "bucket"), "landing", "s", scheme="", schema="id long", skip_bad=True)
     assert df.count() == 5
     with pytest.raises(Exception):
-        read_prefix(spark, str(tmp_path / "bucket"), "landing", "s", scheme="", schema="id long", skip_bad=False).collect()
+        read_prefix(spark, str(tmp_path / "bucket"), "landing", "s", scheme="", schema="id long").collect()
+
+
+def test_malformed_json_fails_or_is_kept_apart(spark, tmp_path):
+    path = put(tmp_path, "a.jsonl", '{"id": 1}\n{"id": "two"}\n{"id": 3}\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_files(spark, path, "jsonl", schema="id long").collect()
+    apart = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+    assert rows(read_files(spark, path, "jsonl", schema="id long, bad string", options=apart)) == [(1, None), (3, None), (None, '{"id": "two"}')]
 
 
 def test_prefix_urls_and_credentials():

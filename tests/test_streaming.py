@@ -14,6 +14,14 @@ def test_each_file_is_taken_once(spark, where):
     assert [r[0] for r in rows(read_runs(spark, target))] == [0, 0, 2, 2, 3, 4]
 
 
+def test_a_new_checkpoint_replaces_nothing(spark, where):
+    for n in (1, 2):
+        landing = where(f"landing{n}")
+        write_files(spark.range(n), landing)
+        run_arriving_files(spark, landing, "id long", where("target"), where(f"checkpoint{n}"))
+    assert [r[0] for r in rows(read_runs(spark, where("target")))] == [0, 0, 1]
+
+
 def test_arriving_rows_can_be_upserted(spark, where):
     landing, target = where("landing"), where("target")
     for tag in ("a", "b"):

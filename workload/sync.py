@@ -72,6 +72,34 @@ def inc_two_runs(spark, sf):
     return read_runs(spark, f"{target}/orders")
 
 
+@query("inc_null_cursor", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def inc_null_cursor(spark, sf):
+    """Three runs over one source: rows without a cursor value are appended once."""
+    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "quality")
+    landing, target = work_path(spark, "landing"), work_path(spark, "target")
+    store = StateStore(spark, work_path(spark, "state"))
+    write_files(labelled, landing)
+    for _ in range(3):
+        run(spark, _spec(landing, target, sync_mode="incremental", cursor_field="quality"), store, raise_errors=True)
+    return read_runs(spark, f"{target}/orders")
+
+
+@query("inc_layouts", "SELECT * FROM orders")
+def inc_layouts(spark, sf):
+    """An append between two incremental runs is refused and leaves the target as it was."""
+    orders = table(spark, sf, "orders")
+    landing, target = work_path(spark, "landing"), work_path(spark, "target")
+    store = StateStore(spark, work_path(spark, "state"))
+    spec = _spec(landing, target, sync_mode="incremental", cursor_field="o_orderdate")
+    write_files(orders.where(SPLIT), landing)
+    run(spark, spec, store, raise_errors=True)
+    if run(spark, _spec(landing, target, sync_mode="append")).status != "failed":
+        raise AssertionError("an append beside numbered runs was accepted")
+    write_files(orders.where(f"NOT {SPLIT}"), landing)
+    run(spark, spec, store, raise_errors=True)
+    return read_runs(spark, f"{target}/orders")
+
+
 @query("sync_full", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def sync_full(spark, sf):
     """A second full refresh replaces the first."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.session import work_path
 from millrace.sinks import (
     check_constraints,
+    read_partitioned,
     replace_files,
     truncate_files,
     upsert_files,
@@ -64,11 +65,22 @@ def snk_multi_stream(spark, sf):
     return spark.read.parquet(path).drop("_stream")
 
 
-@query("snk_partitioned", "SELECT p_partkey, p_name, replace(p_type, ' ', '_') AS p_type, p_size, replace(p_brand, '/', '_') AS p_brand, p_retailprice FROM part")
+@query("snk_partitioned", "SELECT * FROM part")
 def snk_partitioned(spark, sf):
     path = work_path(spark, "partitioned")
     write_partitioned(table(spark, sf, "part"), path, ["p_brand", "p_type"])
-    return spark.read.parquet(path)
+    return read_partitioned(spark, path)
+
+
+_AWKWARD = "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '001' WHEN 2 THEN 'a b' ELSE 'a_b' END"
+
+
+@query("snk_partition_values", f"SELECT p_partkey, {_AWKWARD} AS kind FROM part")
+def snk_partition_values(spark, sf):
+    """Values that directory names would change: NULL, digits, a space and what replaces it."""
+    path = work_path(spark, "partitioned")
+    write_partitioned(table(spark, sf, "part").selectExpr("p_partkey", f"{_AWKWARD} AS kind"), path, ["kind"])
+    return read_partitioned(spark, path)
 
 
 @query("snk_overwrite", "SELECT o_orderkey, o_totalprice / 2 AS o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
