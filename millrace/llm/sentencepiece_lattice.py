@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a batched lattice in numpy.
 
-Words of equal length advance together, one column of characters at a time. The hash of every substring that ends at
-the column probes the sorted hashes of the pieces; a vectorised maximum over the candidates keeps the best as the
-backpointer of the column. For a unigram model a candidate scores its log probability plus the best score where it
+Words of equal length advance together, one column of characters at a time. The hashes of all substrings that begin at
+the column probe the sorted hashes of the pieces; a vectorised maximum keeps the best candidate of each end as its
+backpointer. For a unigram model a candidate scores its log probability plus the best score where it
 begins. A BPE model's scores are ranks of merges, and the path of the greatest sum is not what its merges give. There,
 a candidate counts only if the merges would leave it and the piece before it apart, which exactly one candidate does
 in every column that merges can end in; the path is then that of the merges, id by id.
@@ -25,6 +25,7 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 UNKNOWN, NONE = -2, -1
 SLOTS = 1 << 20
+PRESENT_SHIFT = np.uint64(44)
 _code = np.random.default_rng(99).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _models: dict = {}
 
@@ -72,38 +73,57 @@ class Model:
         hashes = np.concatenate(hashes)
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(ids, np.int64)[order]
+        self.present = np.zeros(1 << 20, bool)  # leading bits of the keys: tells most other substrings before a search
+        self.present[self.keys >> PRESENT_SHIFT] = True
+        self.ranks, self.histories = self.scores.tolist(), {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.slot_keys, self.slot_apart = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)  # the pairs met last, by hash
 
     @staticmethod
     def substrings(codes: np.ndarray) -> np.ndarray:
-        """Prefix sums of each row, as a row vector for ``piece_at``; of whole rows when asked with full length."""
+        """Prefix sums of each row, as a row vector for ``pieces_from``; of whole rows when asked with full length."""
         up, _ = K.powers(codes.shape[1] + 1)
         sums = np.zeros((len(codes), 1, codes.shape[1] + 1), np.uint64)
         np.cumsum(code_values(codes) * up[: codes.shape[1]], axis=1, out=sums[:, 0, 1:])
         whole = K.mix(sums[:, :, -1:])
         return np.concatenate([sums, whole], axis=2)
 
-    def piece_at(self, before: np.ndarray, until: np.ndarray, start: int) -> np.ndarray:
-        """The piece that is the substring of each row, or NONE; from the prefix sums at its ``start`` and its end."""
+    def pieces_from(self, sums: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces that begin at ``start`` in rows of prefix sums: row, end, piece. A character without one is UNKNOWN."""
         _, down = K.powers(start + 1)
-        h = K.mix((until - before) * down[start])
+        h = K.mix((sums[:, start + 1 : start + 1 + self.longest] - sums[:, start : start + 1]) * down[start])
+        maybe = self.present[h >> PRESENT_SHIFT]
+        maybe[:, 0] = True
+        rows, ahead = np.nonzero(maybe)
+        h = h[rows, ahead]
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.key_ids[at], NONE)
-
-    def merged(self, text: str) -> list[str]:
-        """What the merges make of a short text: the best adjacent pair first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, where = -np.inf, -1
-            for i in range(len(parts) - 1):
-                joined = self.pieces.get(parts[i] + parts[i + 1])
-                if joined is not None and self.scores[joined] > best:
-                    best, where = self.scores[joined], i
-            if where < 0:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return parts
+        own = np.where(self.keys[at] == h, self.key_ids[at], NONE)
+        own[(own == NONE) & (ahead == 0)] = UNKNOWN
+        kept = np.flatnonzero(own != NONE)
+        return rows[kept], start + 1 + ahead[kept], own[kept]
+
+    def history(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How the merges make a piece of its characters: the best adjacent pair first, the leftmost of equals.
+
+        The score of each merge (then -inf), and the first and the last part before it. None if they make it not whole.
+        """
+        if piece not in self.histories:
+            parts = list(self.texts[piece])
+            scores, first, last = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                best, where = -np.inf, -1
+                for i in range(len(parts) - 1):
+                    joined = self.pieces.get(parts[i] + parts[i + 1])
+                    if joined is not None and self.ranks[joined] > best:
+                        best, where = self.ranks[joined], i
+                if where < 0:
+                    break
+                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+                scores.append(best)
+                first.append(parts[0])
+                last.append(parts[-1])
+            self.histories[piece] = ([*scores, -np.inf], first, last) if len(parts) == 1 else None
+        return self.histories[piece]
 
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the merges leave two pieces apart; NONE or UNKNOWN on the left stands for a boundary."""
@@ -123,14 +143,29 @@ class Model:
     def pair_apart(self, left: int, right: int) -> bool:
         known = self.apart.get((left, right))
         if known is None:
-            text = self.texts[right]
-            if left < 0:
-                known = self.merged(text) == [text]
-            else:
-                known = self.texts[left] + text not in self.pieces and self.merged(self.texts[left] + text) == [self.texts[left], text]
-            self.apart[left, right] = known
+            known = self.apart[left, right] = self.never_joined(left, right)
         return known
 
+    def never_joined(self, left: int, right: int) -> bool:
+        """Follow the merges on both sides of the border, best first, until one across it would be due."""
+        theirs = self.history(right)
+        if left < 0 or theirs is None:
+            return theirs is not None
+        own = self.history(left)
+        if own is None:
+            return False
+        i = j = 0
+        while True:
+            joined = self.pieces.get(own[2][i] + theirs[1][j])
+            if joined is not None and self.ranks[joined] > own[0][i] and self.ranks[joined] >= theirs[0][j]:
+                return False
+            if own[0][i] == theirs[0][j] == -np.inf:
+                return True
+            if own[0][i] >= theirs[0][j]:
+                i += 1
+            else:
+                j += 1
+
     def encode(self, units: list[str]) -> list[list[int]]:
         """Ids of units: runs of spaces (as U+2581) and the characters up to the next."""
         by_length: dict[int, list[int]] = {}
@@ -154,33 +189,23 @@ class Model:
         best[:, 0] = 0
         piece = np.full((n, length + 1), NONE, np.int64)
         back = np.zeros((n, length + 1), np.int32)
-        reached = [np.arange(n)]
-        for end in range(1, length + 1):
-            until = sums[:, end]
-            for start in range(max(0, end - self.longest), end):
-                rows = reached[start]
-                if not len(rows):
-                    continue
-                own = self.piece_at(sums[rows, start], until[rows], start)
-                if start == end - 1:
-                    own[own == NONE] = UNKNOWN
-                else:
-                    kept = np.flatnonzero(own != NONE)
-                    if not len(kept):
-                        continue
-                    rows, own = rows[kept], own[kept]
-                real = own >= 0
-                if self.merges:
-                    ok = ~real
-                    ok[real] = self.stay_apart(piece[rows[real], start], own[real])
-                    rows, own = rows[ok], own[ok]
-                    score = best[rows, start] + 1
-                else:
-                    score = best[rows, start] + np.where(real, self.scores[own], self.scores.min() - 10)
-                better = score > best[rows, end]
-                rows, own = rows[better], own[better]
-                best[rows, end], piece[rows, end], back[rows, end] = score[better], own, start
-            reached.append(np.flatnonzero(best[:, end] > -np.inf))
+        for start in range(length):
+            here = np.flatnonzero(best[:, start] > -np.inf)
+            if not len(here):
+                continue
+            rows, end, own = self.pieces_from(sums[here], start)
+            rows = here[rows]
+            real = own >= 0
+            if self.merges:
+                ok = ~real
+                ok[real] = self.stay_apart(piece[rows[real], start], own[real])
+                rows, end, own = rows[ok], end[ok], own[ok]
+                score = best[rows, start] + 1
+            else:
+                score = best[rows, start] + np.where(real, self.scores[own], self.scores.min() - 10)
+            better = score > best[rows, end]
+            rows, end, own = rows[better], end[better], own[better]
+            best[rows, end], piece[rows, end], back[rows, end] = score[better], own, start
         return self.traced(units, piece, back)
 
     def traced(self, units: list[str], piece: np.ndarray, back: np.ndarray) -> Iterator[list[int]]:
