@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -38,7 +39,7 @@ class Lexicon:
         if len(self.index) > MOST_WORDS:
             self.clear()
         get = self.index.get
-        found = np.array([get(w, -1) for w in words], np.int64)
+        found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         missing = [words[i] for i in np.flatnonzero(found < 0).tolist()]
         if missing:
             self.add(list(dict.fromkeys(missing)))

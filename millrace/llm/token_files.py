@@ -68,10 +68,14 @@ class WordEncoder:
         special = {t["content"][:1] for t in own["added_tokens"] if t["content"]}
         self.odd = re.compile(f"[{''.join(map(re.escape, sorted(special)))}\u0250-\U0010ffff]")
 
-    def parts(self, text: str) -> int:
-        if self.run_of_letters and text.isalpha() and text.isascii():
-            return 1
-        return len(self.pattern.findall(text.lower()))
+    def parts(self, texts: list[str]) -> np.ndarray:
+        """The number of parts of each text."""
+        out = np.ones(len(texts), np.int64)
+        mixed = [i for i, t in enumerate(texts) if not (t.isalpha() and t.isascii())] if self.run_of_letters else range(len(texts))
+        findall = self.pattern.findall
+        for i in mixed:
+            out[i] = len(findall(texts[i].lower()))
+        return out
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -82,8 +86,9 @@ class WordEncoder:
             plain = [i for i, t in enumerate(texts) if odd(t) is None]
         for a in range(0, len(plain), self.CHUNK):
             rows = plain[a : a + self.CHUNK]
-            parts = np.array([self.parts(texts[i]) for i in rows])
-            ids = self.tokenizer.encode(" ".join([texts[i] for i in rows]), add_special_tokens=False).ids
+            own = [texts[i] for i in rows]
+            parts = self.parts(own)
+            ids = self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != parts.sum() or (len(ids) and last[-1] != len(ids)):
                 continue
