@@ -56,7 +56,7 @@ def sql_transform(
     """Result of ``sql_query``, in which the incoming rows are called ``data`` (or ``input``).
 
     ``tables`` adds named DataFrames for joins. With ``empty_input="skip"`` a query that would return rows on no
-    input (a global aggregate, say) returns none: one row is looked for before the query is planned.
+    input (a global aggregate, say) returns none: the plan itself looks for one row, when the result is computed.
     """
     if empty_input not in ("run", "skip"):
         raise SpecError(f"empty_input must be run or skip, not {empty_input!r}")
@@ -71,6 +71,4 @@ def sql_transform(
             if hints:
                 raise SpecError(f"{error}\nHint: {'; '.join(hints)}") from error
             raise
-    if empty_input == "skip" and df.isEmpty():
-        return result.limit(0)
-    return result
+    return result.where(df.exists()) if empty_input == "skip" else result
