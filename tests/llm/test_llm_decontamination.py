@@ -1,10 +1,11 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
 from helpers import SF, documents, frame, words
 
-from millrace.llm.decontamination import leaks, longest_overlap, without_leaks
+from millrace.llm.decontamination import leaks, longest_overlap, masks_for, without_leaks
 from millrace.llm.queries import QUERIES
 
 
@@ -79,6 +80,42 @@ def test_substitutions(spark, seed):
     assert {r.doc_id for r in clean.collect()} == {n for n, _ in docs} - {n for n, _ in planted}
 
 
+@pytest.mark.parametrize("overlap, percent, longest", [(13, 80, 25), (6, 70, 11), (8, 80, 15), (13, 60, 14), (13, 100, 25)])
+def test_masks_hit_every_placement(overlap, percent, longest):
+    for n in range(5, longest + 1):
+        run = min(n, overlap) if n < 2 * overlap else overlap
+        for length in {run, n}:
+            places = []
+            for mask in masks_for(n, overlap, percent):
+                bits = sum(1 << i for i, c in enumerate(mask) if c == "1")
+                places += [bits << at for at in range(length - len(mask) + 1)]
+            for differ in combinations(range(length), length * (100 - percent) // 100):
+                hidden = sum(1 << i for i in differ)
+                assert any(not p & hidden for p in places), (n, length, differ)
+
+
+@pytest.mark.parametrize("overlap, percent", [(13, 80), (6, 70)])
+def test_random_substitutions_against_brute_force(spark, overlap, percent):
+    rng = random.Random(overlap)
+    items = [(n, " ".join(f"i{n}w{rng.randrange(60)}" for _ in range(n))) for n in range(5, 31)]
+    docs = []
+    for n in range(150):
+        own = rng.choice(items)[1].split()
+        for k in rng.sample(range(len(own)), min(len(own), len(own) * (100 - percent) // 100 + rng.randrange(2))):
+            own[k] = "other"
+        docs.append((n, " ".join([f"v{rng.randrange(9)}" for _ in range(rng.randrange(9))] + own[rng.choice([0, 0, 3]) :] + ["end"] * rng.randrange(4))))
+    got = {(r.doc_id, r.item_id) for r in leaks(frame(spark, [t for _, t in docs]), spark.createDataFrame(items, "item_id long, text string"), overlap, percent).collect()}
+    want = set()
+    for i, item in items:
+        for d, text in docs:
+            test, own = item.split(), text.split()
+            for shift in range(-len(test) + 1, len(own)):
+                same = [own[k + shift] == test[k] for k in range(max(0, -shift), min(len(test), len(own) - shift))]
+                if any(same) and agree(same, min(overlap, len(test)), percent):
+                    want.add((d, i))
+    assert len(want) > 50 and got == want
+
+
 def test_odd_rows(spark):
     item = " ".join(f"q{i}" for i in range(14))
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "too short"), (None, "a b c d e f")], "item_id long, text string")
