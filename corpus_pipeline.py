@@ -23,10 +23,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by a similarity of 0.8 on sequences of five words."""
-    kept = near_duplicates(docs, size=5, percent=80, bands=30).where("kept").select(F.col("doc_id").alias("kept_doc"), F.col("th").alias("kept_th"))
-    th = F.xxhash64(F.coalesce(docs.text, F.lit("")))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_doc) & (th == kept.kept_th), "left_semi")
+    """Keep one row of each group linked by a similarity of 0.8 on sequences of five words, or repeating id and text."""
+    keys = ["no_id", "id", "th", "no_text"]
+    id_keys = [F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(*id_keys, th.alias("th"), F.isnull("text").alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = rows.groupBy(*keys).agg(F.min("row").alias("row"))  # before the shuffle too, which the join then shares
+    no_text = F.when(F.col("th") == F.xxhash64(F.lit("")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    kept = near_duplicates(docs, size=5, percent=80, bands=30).where("kept").select(*id_keys, "th", F.explode(no_text).alias("no_text"))
+    return once.join(kept, keys, "left_semi").select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
