@@ -1,13 +1,15 @@
 """A hidden Markov language model over word classes.
 
 P(text) = sum over state paths of transitions and class emissions, times the probability of each word in its class.
-Word counts cover all training documents; classes are shapes of words, so the emission table has a fixed size. Each
-Baum-Welch step sums expected counts over all training documents, partition by partition. A text is scored by the
+Word counts cover all training documents; classes are shapes of words, so the emission table has a fixed size. Baum-Welch
+runs to its end on a sample first; from there each step sums expected counts over all training documents, partition by
+partition, until a step gains less than the tolerance on all of them. A text is scored by the
 scaled forward recursion over the whole of it, all texts of a task one token further at a time.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,10 @@ END_WORD = np.uint64(0x5851F42D4C957F2D)
 SEGMENT = 2048  # words between restarts while training; scores never restart
 BLOCK = 1_000_000  # tokens held at once while training
 HELD = 1_000_000  # distinct words held at once while counting
+SAMPLE = 250_000  # tokens, about, that the first model is fitted on
+SAMPLE_STEPS, SAMPLE_TOLERANCE = 100, 1e-6
+
+log = logging.getLogger(__name__)
 
 
 def word_classes(texts: K.Texts, words: K.Words) -> np.ndarray:
@@ -128,6 +134,11 @@ def log_likelihoods(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.
 
 def expected(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
     """Expected counts of starts, moves and emissions."""
+    return expected_and_log(seqs, start, move, emit)[:3]
+
+
+def expected_and_log(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+    """Expected counts, then log10 of the probability of all sequences and their symbols."""
     alpha, scale = forward(seqs, start, move, emit)
     weighted = emit.T[seqs.symbols] / scale[:, None]
     beta = np.ones_like(alpha)
@@ -141,16 +152,18 @@ def expected(seqs: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray
     before = seqs.first[step[later] - 1] + rank[later]
     moves = move * (alpha[before].T @ (weighted[later] * beta[later]))
     emits = np.stack([np.bincount(seqs.symbols, weights=gamma[:, k], minlength=CLASSES) for k in range(len(start))])
-    return gamma[: steps[0]].sum(axis=0), moves, emits
+    return gamma[: steps[0]].sum(axis=0), moves, emits, np.array([np.log10(scale).sum(), len(scale)])
+
+
+def layout_of(held: list[bytes]) -> Layout:
+    return Layout(np.frombuffer(b"".join(held), np.uint8), np.array([len(s) for s in held]))
 
 
 def expectation_rows(start: np.ndarray, move: np.ndarray, emit: np.ndarray):
     """One row of expected counts for each block of sequences."""
 
     def out(held):
-        lengths = np.array([len(s) for s in held])
-        parts = expected(Layout(np.frombuffer(b"".join(held), np.uint8), lengths), start, move, emit)
-        return np.concatenate([p.ravel() for p in parts])
+        return np.concatenate([p.ravel() for p in expected_and_log(layout_of(held), start, move, emit)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, total = [], 0, 0
@@ -169,27 +182,43 @@ def expectation_rows(start: np.ndarray, move: np.ndarray, emit: np.ndarray):
     return rows
 
 
-def trained(seqs: DataFrame, class_counts: np.ndarray, states: int, steps: int):
-    """Baum-Welch from a fixed start near the class frequencies."""
+def reestimated(values: np.ndarray, states: int):
+    """The next start, moves and emissions, and log10 per token under those that gave the counts."""
+    a, b, c, (total, tokens) = np.split(values, np.cumsum([states, states * states, states * CLASSES]))
+    move = b.reshape(states, states) + 1e-3
+    emit = c.reshape(states, CLASSES) + 1e-2
+    return ((a + 1e-3) / (a + 1e-3).sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True)), total / tokens
+
+
+def trained(seqs: DataFrame, class_counts: np.ndarray, states: int, steps: int, tolerance: float):
+    """Baum-Welch from a fixed start near the class frequencies, on a sample and then on all sequences."""
     rng = np.random.default_rng(11)
     emit = (class_counts + 1) * rng.uniform(0.5, 1.5, (states, CLASSES))
     emit /= emit.sum(axis=1, keepdims=True)
-    move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
-    start = np.full(states, 1 / states)
-    for _ in range(steps):
-        sums = seqs.mapInArrow(expectation_rows(start, move, emit), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # a row for each parameter
+    model = np.full(states, 1 / states), np.full((states, states), 0.3 / states) + 0.7 * np.eye(states), emit
+    some = [r.seq for r in seqs.sample(min(1.0, SAMPLE / max(class_counts.sum(), 1)), 11).collect()]  # about SAMPLE bytes
+    layout, before = layout_of(some) if some else None, -np.inf
+    for _ in range(SAMPLE_STEPS if some else 0):
+        model, now = reestimated(np.concatenate([p.ravel() for p in expected_and_log(layout, *model)]), states)
+        if now - before < SAMPLE_TOLERANCE:
+            break
+        before = now
+    before = -np.inf
+    for step in range(1, steps + 1):
+        sums = seqs.mapInArrow(expectation_rows(*model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # a row for each parameter
         if not sums:
             break
-        values = np.zeros(states + states * states + states * CLASSES)
+        values = np.zeros(states + states * states + states * CLASSES + 2)
         for r in sums:
             values[r.place] = r.value
-        a, b, c = np.split(values, [states, states + states * states])
-        start = (a + 1e-3) / (a + 1e-3).sum()
-        move = b.reshape(states, states) + 1e-3
-        move /= move.sum(axis=1, keepdims=True)
-        emit = c.reshape(states, CLASSES) + 1e-2
-        emit /= emit.sum(axis=1, keepdims=True)
-    return start, move, emit
+        model, now = reestimated(values, states)
+        log.info("step %d over all sequences: %.6f log10 per token before it", step, now)
+        if now - before < tolerance:
+            break
+        before = now
+    else:
+        log.warning("%d steps did not bring the gain below %g log10 per token", steps, tolerance)
+    return model
 
 
 def wanted_rows(chunk: pa.Table) -> pa.Table:
@@ -239,13 +268,14 @@ def score_rows(start, move, emit, sizes, end_count, words_total, words_distinct)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def language_scores(docs: DataFrame, states: int = 4, steps: int = 2, folds: int = 10, chunk_bytes: int = 16 << 20) -> DataFrame:
+def language_scores(docs: DataFrame, states: int = 4, steps: int = 10, folds: int = 10, chunk_bytes: int = 16 << 20, tolerance: float = 1e-4) -> DataFrame:
     """The log10 probability of every whole text under a hidden Markov model and under smoothed word counts.
 
     Documents whose crc32(doc_id as text) is divisible by ``folds`` are held out, the others train. Tokens are words
     (runs of bytes other than space and 0x09-0x0D, A-Z lower-cased) and one end. base_score sums
     log10((c + 0.1) / (N + 0.1 (V + 1))); n_known counts tokens with c > 0; ``score`` is the model's, whose words are
-    smoothed the same way within their class, so that unseen words share 0.1 of a count.
+    smoothed the same way within their class, so that unseen words share 0.1 of a count. Training ends when a step over
+    all training documents gains less than ``tolerance`` in log10 per token; it warns if ``steps`` do not get there.
 
     A null or empty text has its end alone. A null doc_id counts as the empty text in crc32 and is held out. Repeated
     rows each count. Without training rows all counts are 0. Other columns are ignored. No rows give no rows.
@@ -259,7 +289,7 @@ def language_scores(docs: DataFrame, states: int = 4, steps: int = 2, folds: int
     sizes = np.zeros((CLASSES, 2))
     for r in counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # a row for each class
         sizes[r.cls] = r.c, r.v
-    start, move, emit = trained(seqs, sizes[:, 0], states, steps)
+    start, move, emit = trained(seqs, sizes[:, 0], states, steps, tolerance)
     forget(seqs)
     chunked = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)).cast("int"))
     wanted = chunked.select("chunk", "text").groupBy("chunk").applyInArrow(wanted_rows, "chunk int, h long")

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, documents, frame, words
 
@@ -60,6 +61,21 @@ def test_forward_and_counts_against_all_paths():
     assert np.allclose(starts, a) and np.allclose(moves, b) and np.allclose(emits, c)
 
 
+@pytest.mark.parametrize("sample", [250_000, 40_000])
+def test_training_goes_on_until_a_step_gains_little(spark, monkeypatch, sample):
+    models, trained = [], hmm.trained
+    monkeypatch.setattr(hmm, "SAMPLE", sample, raising=False)
+    monkeypatch.setattr(hmm, "trained", lambda *args: models.append(trained(*args)) or models[-1])
+    QUERIES["op10_hmm_scores"](spark, SF)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for i, t in documents(spark) if zlib.crc32(str(i).encode()) % 10], pa.string())], ["text"])
+    seqs = [np.frombuffer(s, np.uint8) for out in hmm.class_rows([batch]) for s in out.column("seq").to_pylist()]
+    layout = hmm.Layout(np.concatenate(seqs), np.array([len(s) for s in seqs]))
+    a, b, c = hmm.expected(layout, *models[0])
+    after = a / a.sum(), b / b.sum(axis=1, keepdims=True), c / c.sum(axis=1, keepdims=True)
+    gain = (hmm.log_likelihoods(layout, *after).sum() - hmm.log_likelihoods(layout, *models[0]).sum()) / len(layout.symbols)
+    assert 0 <= gain < 1e-4
+
+
 def test_odd_rows(spark, monkeypatch):
     long = " ".join(f"w{i % 977}" for i in range(20000))
     texts = [None, "", "A b a", long, long, "é . "]
