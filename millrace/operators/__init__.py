@@ -4,9 +4,11 @@ from .basic import add_constant, compute_expression, drop_fields, filter_rows, n
 from .custom import custom_batch, custom_record
 from .registry import apply_chain, register_transform, resolve_chain, transform_names
 from .relational import asof_join, range_join, top_k_per_group
+from .segments import Segments
 from .sql import sql_transform
 
 __all__ = [
+    "Segments",
     "add_constant",
     "apply_chain",
     "asof_join",

@@ -53,6 +53,15 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again; ``staged_path`` of the result says where."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) pair of the Hadoop API for ``path``."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
