@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.decontamination import leaks
 from millrace.llm.hmm import language_scores
+from millrace.llm.merkle import folded, lower_ascii, manifest, proof_hash
 from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.quality import quality
 from millrace.llm.sentencepiece_lattice import encode_documents
@@ -86,6 +87,17 @@ def op5_topk(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(tampered, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    proofs = manifest(table(spark, sf_dir, "documents"), claims={"text": text})
+    back = proofs.withColumn("folded_root", folded(F.col("claimed"), F.col("path")))
+    return back.select(
+        "doc_id", "leaf", "subroot", "root", proof_hash(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 ORACLES["op5_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
