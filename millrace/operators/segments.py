@@ -180,6 +180,18 @@ class Segments:
         rows = copies.select(*[col(c) for c in kept], "_block", *[make(around).alias(name) for name, make in columns.items()])
         return self._with(rows.where(F.col("_block") == F.floor(number / size)).drop("_block"), _numbered=True)
 
+    def relaid(self, rows: DataFrame, order: Sequence[str]) -> Segments:
+        """The same pieces over other rows with the keys and ``PIECE`` column of this layout, in an order of their own.
+
+        ``order`` must be unique within a key and must not contradict the order of the pieces.
+        """
+        within = Window.partitionBy(*[col(k) for k in self._keys], PIECE).orderBy(*[_direction(o) for o in order])
+        return self._with(rows, _order=[o.removeprefix("-") for o in order], _within=within, _extra=[PIECE], _numbered=False)
+
+    def rows(self) -> DataFrame:
+        """The rows with the ``PIECE`` column of the layout, for ``relaid``."""
+        return self._rows
+
     def frame(self) -> DataFrame:
         """The rows with all added columns. They read the staged layout, so ``close`` comes after they are used."""
         return self._rows.drop(*self._extra, *([NUMBER] if self._numbered else []))
