@@ -11,6 +11,7 @@ from millrace.llm.decontamination import leaks
 from millrace.llm.hmm import language_scores
 from millrace.llm.merkle import folded, lower_ascii, manifest, proof_hash
 from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_heads
 from millrace.llm.quality import quality
 from millrace.llm.sentencepiece_lattice import encode_documents
 from millrace.llm.substring_dedup import remove_repeated_words
@@ -87,6 +88,11 @@ def op5_topk(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(*with_shared_heads(numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
