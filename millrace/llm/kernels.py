@@ -1,7 +1,9 @@
 """Array kernels shared by the operators: slicing Arrow batches, words, span hashes, content-chosen anchors.
 
 A span hash is a polynomial over 64-bit symbol values modulo 2**64, so that the hash of any span follows from two
-prefix sums; a final mixing step spreads it over all bits. Equal spans have equal hashes wherever they stand.
+prefix sums; a final mixing step spreads it over all bits. Equal spans have equal hashes wherever they stand. Spans stay
+under 512 symbols: from 1,024 on, two sequences of a certain pattern have one polynomial. Words have no greatest length
+and are therefore hashed by ``run_hash``.
 """
 
 from __future__ import annotations
@@ -59,6 +61,32 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def run_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs of any length: eight bytes a step, mixed each time, so no pattern of bytes cancels out.
+
+    Runs over 64 bytes are hashed in pieces of 64, and then the hashes of their pieces.
+    """
+    n = end - start
+    h = mix(n.astype(np.uint64) * BASE + np.uint64(1))
+    far = np.flatnonzero(n > 64)
+    if len(far):
+        counts = -(-n[far] // 64)
+        offsets = np.r_[0, np.cumsum(counts)]
+        first = np.repeat(start[far], counts) + 64 * (np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts))
+        pieces = run_hash(data, first, np.minimum(first + 64, np.repeat(end[far], counts)))
+        h[far] = mix(h[far] ^ run_hash(pieces.view(np.uint8), 8 * offsets[:-1], 8 * offsets[1:]))
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at = np.flatnonzero((n > 0) & (n <= 64))
+    for step in range(0, 64, 8):
+        at = at[n[at] > step]
+        if not len(at):
+            break
+        value = eights[start[at] + step]
+        short = np.maximum(step + 8 - n[at], 0).astype(np.uint64) * np.uint64(8)
+        h[at] = mix(h[at] ^ (value << short)) + BASE
+    return h
+
+
 class Texts:
     """Some texts as one byte array: ``data`` and the ``offsets`` of each text. A null text is empty."""
 
@@ -108,13 +136,13 @@ class Words:
         self.offsets = np.searchsorted(self.start, texts.offsets)
         self.owner = np.repeat(np.arange(texts.n), np.diff(self.offsets))
         self.counts = np.diff(self.offsets)
-        self.sums = prefix(_values[data])
-        self.hash = span_hash(self.sums, self.start, self.end)
+        self.data = data
+        self.hash = run_hash(data, self.start, self.end)
 
     def stems(self, size: int) -> np.ndarray:
         """Hashes of the first ``size`` bytes of each word; a word no longer than that has 0."""
         long = self.end - self.start > size
-        return np.where(long, span_hash(self.sums, self.start, np.minimum(self.start + size, self.end)), np.uint64(0))
+        return np.where(long, run_hash(self.data, self.start, np.minimum(self.start + size, self.end)), np.uint64(0))
 
 
 def byte_prefix(texts: Texts) -> np.ndarray:

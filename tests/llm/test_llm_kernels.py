@@ -53,3 +53,27 @@ def test_runs_and_slices():
     column = pa.array(["ab", None, "", "c" * 10, "d"])
     assert [(t.first, t.n, t.data.tobytes()) for t in K.slices(column, 3)] == [(0, 3, b"ab"), (3, 1, b"c" * 10), (4, 1, b"d")]
     assert list(K.slices(pa.array([], pa.string()))) == []
+
+
+def test_words_of_a_pattern_that_cancels_polynomials_differ():
+    signs = [0]
+    while len(signs) < 4096:
+        signs += [1 - s for s in signs]
+    for n in (8, 64, 65, 512, 1024, 2048, 4096):
+        a = "".join("ab"[s] for s in signs[:n])
+        b = "".join("ba"[s] for s in signs[:n])
+        h = K.Words(texts([f"{a} {b} {a}"])).hash
+        assert h[0] == h[2] != h[1]
+
+
+def test_run_hash_is_that_of_the_bytes_alone():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    start = rng.integers(0, 3000, 3000)
+    end = start + rng.integers(0, 200, 3000)
+    seen = {}
+    for s, e, h in zip(start, end, K.run_hash(data, start, end)):
+        assert seen.setdefault(data[s:e].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+    moved = np.r_[np.zeros(5, np.uint8), data]
+    assert (K.run_hash(moved, start + 5, end + 5) == K.run_hash(data, start, end)).all()
