@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.decontamination import leaks
 from millrace.llm.hmm import language_scores
+from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.merkle import folded, lower_ascii, manifest, proof_hash
 from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_heads
@@ -104,6 +105,11 @@ def op12_merkle_manifest(spark, sf_dir):
     )
 
 
+@query
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 ORACLES["op5_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
