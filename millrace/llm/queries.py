@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm import oracles
 from millrace.llm.decontamination import leaks
 from millrace.llm.hmm import language_scores
 from millrace.llm.jaccard_join import jaccard_components
@@ -122,3 +123,6 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+ORACLES["op11_prefix_trie"] = oracles.prefix_trie()
+ORACLES["op12_merkle_manifest"] = oracles.merkle_manifest()
+ORACLES["op13_jaccard_join"] = oracles.jaccard_components()
