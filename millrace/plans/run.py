@@ -16,10 +16,11 @@ from ..errors import SpecError
 from ..observe import FooterCount, Watch
 from ..operators.registry import apply_step, resolve_chain
 from ..session import path_exists
-from ..sinks.checks import require_constraints, split_rejects
+from ..sinks.checks import require_constraints, split_once
 from ..sinks.files import layouts, replace_files, truncate_files, write_files, write_run
 from ..sinks.jdbc import write_jdbc
 from ..sinks.singer import write_singer
+from ..sinks.snapshots import append_snapshot, read_snapshot, replace_snapshot, upsert_snapshot
 from ..sinks.upsert import upsert_files
 from ..sinks.vendor import write_vendor
 from ..sources.files import prefix_path, read_files, read_prefix, s3_options
@@ -81,6 +82,8 @@ def read_source(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
         return read_jdbc(spark, config)
     if kind in VENDORS:
         return read_vendor(spark, config)
+    if kind == "local_file" and config.get("layout") == "snapshots":
+        return read_snapshot(spark, config["file_path"], config.get("version"))
     if kind == "local_file":
         return read_files(
             spark,
@@ -198,6 +201,14 @@ def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
         path = f"{config['file_path'].rstrip('/')}/{name}"
         options = {}
     format = config.get("format", "parquet")
+    if config.get("layout") == "snapshots":
+        declared = config.get("constraints") or {}
+        if declared.get("primary_key") and mode == "append":
+            raise SpecError("a snapshot table keeps a key unique by upsert, not by append")
+        if declared:
+            _require(df, config, path, format, mode)
+        _write_snapshot(df, path, config, spec, state, mode)
+        return
     _require(df, config, path, format, mode)
     if mode == "upsert":
         if not config.get("keys") or not config.get("order_by"):
@@ -212,8 +223,6 @@ def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
         "batch_size": config.get("batch_size"),
         "options": options,
     }
-    if format == "json":
-        layout = {"batch_size": config.get("batch_size")}
     if mode == "overwrite":
         replace_files(df, path, format, reads_target=_same_place(spec, path), **layout)
     elif mode == "truncate":
@@ -226,6 +235,33 @@ def _write_files(df: DataFrame, spec: RunSpec, state: State, mode: str) -> None:
         write_files(df, path, format, **layout)
 
 
+def _write_rejects(rejects: DataFrame, path: str, spec: RunSpec, state: State, mode: str) -> None:
+    """Rejects are kept like the rows: replaced with them, by run where runs are numbered, else added."""
+    if mode in ("overwrite", "truncate"):
+        replace_files(rejects, path, reads_target=False)
+    elif spec.sync_mode == "incremental":
+        write_run(rejects, path, state.run + 1)
+    else:
+        write_files(rejects, path)
+
+
+def _write_snapshot(df: DataFrame, path: str, config: Mapping[str, Any], spec: RunSpec, state: State, mode: str) -> None:
+    """Write to a snapshot table. An incremental run that is repeated because its state was not saved replaces what it added."""
+    numbered = f"{spec.name}/{spec.stream}/{state.run + 1}" if spec.sync_mode == "incremental" else None
+    layout = {k: config[k] for k in ("compression", "batch_size") if config.get(k)}
+    if config.get("format", "parquet") != "parquet" or config.get("partition_by"):
+        raise SpecError("a snapshot table holds parquet files without partition columns")
+    keys = config.get("keys") or ()
+    if mode == "upsert":
+        if not keys or not config.get("order_by"):
+            raise SpecError("an upsert needs keys and order_by in the destination")
+        upsert_snapshot(df, path, keys, config["order_by"], **layout)
+    elif mode in ("overwrite", "truncate"):
+        replace_snapshot(df, path, keys, mode == "truncate", **layout)
+    else:
+        append_snapshot(df, path, keys, numbered, **layout)
+
+
 def _counts_from_footers(source: Mapping[str, Any]) -> bool:
     return source["type"] in ("local_file", "s3") and source.get("format", "parquet") == "parquet"
 
@@ -275,19 +311,16 @@ def run(
             df = apply_step(df, name, config)
             if metrics == "operators":
                 df = watched(df, "transform", name)
-        failed = 0
+        failed, split = 0, None
         checks = spec.destination.get("quarantine")
         if checks:
-            df, rejects = split_rejects(df, checks.get("not_null", ()), checks.get("checks"))
-            rejected = Watch(rejects.withColumn("_run_id", F.lit(run_id)))
-            if spec.sync_mode == "incremental":
-                write_run(rejected.df, checks["path"], state.run + 1)
-            else:
-                write_files(rejected.df, checks["path"])
-            failed = rejected.rows
-            # both passes go through the steps above, so either one answers their observations
+            split = split_once(df, checks.get("not_null", ()), checks.get("checks"))  # answers the observations above
+            failed, df = split.failed, split.good
+            _write_rejects(split.bad.withColumn("_run_id", F.lit(run_id)), checks["path"], spec, state, mode)
         df = watched(df, "load", spec.destination["type"])
         _write(df, spec, state, mode)
+        if split:
+            split.close()
         counts = [(kind, name, watch.get()) for kind, name, watch in seen]
     except Exception as error:
         if raise_errors:

@@ -16,7 +16,6 @@ from ..sources.files import _FORMAT_OPTIONS
 FORMATS = ("parquet", "csv", "json", "jsonl", "avro")
 _NTZ_WRITE = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _TEXT_WRITE = {"timestampNTZFormat": _NTZ_WRITE, "timestampFormat": _NTZ_WRITE + "XXX"}
-_COPYING_STORES = ("s3a://", "s3://", "s3n://", "gs://")
 _DIR = "__dir"
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
@@ -63,7 +62,7 @@ def write_files(
     if format not in FORMATS:
         raise SpecError(f"unsupported file format {format!r}; one of {', '.join(FORMATS)}")
     if format == "json":
-        write_json_arrays(df, path, mode=mode, **({"batch_size": batch_size} if batch_size else {}))
+        write_json_arrays(df, path, mode, compression=compression, partition_by=partition_by, options=options, **({"batch_size": batch_size} if batch_size else {}))
         return
     if format == "csv":
         df = nested_as_json(df)
@@ -96,30 +95,60 @@ def write_files(
 
 
 def write_json_arrays(
-    df: DataFrame, path: str, mode: str = "append", batch_size: int = 100_000, batch_chars: int = 64_000_000
+    df: DataFrame,
+    path: str,
+    mode: str = "append",
+    batch_size: int = 100_000,
+    batch_chars: int = 64_000_000,
+    compression: str | None = None,
+    partition_by: Sequence[str] = (),
+    options: Mapping[str, object] | None = None,
 ) -> None:
     """JSON documents holding one array of up to ``batch_size`` rows (and about ``batch_chars`` characters) each.
 
-    Spark renders every row as JSON; each task then joins the texts of its own rows, so nothing is shuffled and a
-    task holds one array at a time.
+    Spark renders every row as JSON; each task then joins the texts of its own rows and holds one array at a time.
+    With ``partition_by`` the columns name directories and are left out of the rows, and rows of a directory are
+    gathered first; without, nothing is shuffled.
     """
-    row = F.to_json(F.struct(*[col(c) for c in df.columns]), {**_TEXT_WRITE, "ignoreNullFields": "false"})
+    missing = [c for c in partition_by if c not in df.columns]
+    if missing:
+        raise SpecError(f"no column {', '.join(missing)} to partition by")
+    row = F.to_json(F.struct(*[col(c) for c in df.columns if c not in partition_by]), {**_TEXT_WRITE, "ignoreNullFields": "false"})
+    places = [col(c).alias(f"p{i}") for i, c in enumerate(partition_by)]
+    texts = df.select(*places, row.alias("value"))
+    names = [f"p{i}" for i in range(len(partition_by))]
+    if names:
+        texts = texts.hint("rebalance", *names).sortWithinPartitions(*names)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[str] = []
-        size = 0
+        size, place = 0, None
+
+        def done() -> pa.RecordBatch:
+            columns = [*place, pa.array(["[" + ",\n".join(waiting) + "]"])]
+            return pa.RecordBatch.from_arrays(columns, [*names, "value"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            keys = list(zip(*(batch.column(n).to_pylist() for n in names))) if names else [()] * len(batch)
+            for i, (key, text) in enumerate(zip(keys, batch.column("value").to_pylist())):
+                if waiting and (len(waiting) == batch_size or size >= batch_chars or key != last):
+                    yield done()
+                    waiting, size = [], 0
+                last, place = key, [batch.column(n).slice(i, 1) for n in names]
                 waiting.append(text)
                 size += len(text)
-                if len(waiting) == batch_size or size >= batch_chars:
-                    yield pa.RecordBatch.from_pydict({"value": ["[" + ",\n".join(waiting) + "]"]})
-                    waiting, size = [], 0
         if waiting:
-            yield pa.RecordBatch.from_pydict({"value": ["[" + ",\n".join(waiting) + "]"]})
-
-    documents = df.select(row.alias("value")).mapInArrow(arrays, "value string")
-    documents.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+            yield done()
+
+    kinds = T.StructType([*[texts.schema[n] for n in names], T.StructField("value", T.StringType())])
+    documents = texts.mapInArrow(arrays, kinds)
+    documents = documents.select(*[F.col(n).alias(c) for n, c in zip(names, partition_by)], "value")
+    writer = documents.write.mode(mode).option("maxRecordsPerFile", 1).options(**(options or {}))
+    if compression:
+        writer = writer.option("compression", compression)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.text(path)
 
 
 def write_partitioned(
@@ -202,27 +231,15 @@ def staging_path(target: str) -> str:
     return f"{target.rstrip('/')}__staged_{uuid.uuid4().hex}"
 
 
-def _renames_cheaply(path: str) -> bool:
-    return not path.startswith(_COPYING_STORES)
-
-
-def replace_files(
-    df: DataFrame,
-    path: str,
-    format: str = "parquet",
-    reads_target: bool = True,
-    by_rename: bool | None = None,
-    **options,
-) -> None:
+def replace_files(df: DataFrame, path: str, format: str = "parquet", reads_target: bool = True, by_rename: bool = True, **options) -> None:
     """Overwrite ``path``; ``df`` may read it itself unless ``reads_target`` is off.
 
-    Where a rename is cheap, the new files are written beside the old ones and take their place when complete. Object
-    stores copy every byte on a rename, so there the rows go straight to ``path`` (by way of the shared folder if they
-    are read from it).
+    The new files are written beside the old ones and take their place when complete, by renames, whatever the store.
+    One that copies on a rename copies every byte then: ``by_rename=False`` writes straight to ``path`` (by way of the
+    shared folder if the rows are read from it), and a job that stops leaves part of the rows. Snapshot tables
+    (``sinks.snapshots``) need neither.
     """
     spark = df.sparkSession
-    if by_rename is None:
-        by_rename = _renames_cheaply(path)
     if by_rename:
         restore(spark, path)
         staged = staging_path(path)

@@ -46,7 +46,7 @@ class Snapshot:
     schema: T.StructType | None = None
     keys: tuple[str, ...] = ()
     files: dict[str, tuple | None] = field(default_factory=dict)
-    transactions: set[str] = field(default_factory=set)
+    transactions: dict[str, list[str]] = field(default_factory=dict)
 
 
 def _log_path(path: str) -> str:
@@ -90,9 +90,10 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
         told = {k.decode(): v.decode() for k, v in entry.schema.metadata.items()}
         out.version, out.schema = number, T.StructType.fromJson(json.loads(told["table_schema"]))
         out.keys = tuple(json.loads(told["keys"]))
-        out.transactions.add(told["transaction"])
+        added = out.transactions.setdefault(told["transaction"], [])
         for row in entry.to_pylist():
             if row["added"]:
+                added.append(row["file"])
                 out.files[row["file"]] = None if row["low"] is None else (tuple(row["low"].values()), tuple(row["high"].values()))
             else:
                 out.files.pop(row["file"], None)
@@ -161,35 +162,36 @@ def _commit(spark: SparkSession, path: str, base: Snapshot, schema: T.StructType
 
 
 def append_snapshot(df: DataFrame, path: str, keys: Sequence[str] = (), transaction: str | None = None, **options) -> int:
-    """Add rows; return the version. A ``transaction`` that the log already names is not written again."""
+    """Add rows; return the version.
+
+    What earlier commits of the same ``transaction`` added is replaced, so a job that is repeated because it stopped
+    after its commit adds nothing twice, and loses nothing if it reads more this time.
+    """
     base = snapshot(df.sparkSession, path)
-    if transaction in base.transactions:
-        return base.version
+    again = [f for f in base.transactions.get(transaction or "", ()) if f in base.files]
     if base.schema is not None:
         missing = [f.name for f in df.schema.fields if f.name not in base.schema.names]
         if missing:
             raise SpecError(f"the table has no columns {', '.join(missing)}; replace it to change its schema")
         df = df.select(*[(col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in base.schema.fields])
     keys = keys or base.keys
-    return _commit(df.sparkSession, path, base, base.schema or df.schema, keys, _write_data(df, path, keys, options), (), transaction)
+    return _commit(df.sparkSession, path, base, base.schema or df.schema, keys, _write_data(df, path, keys, options), again, transaction)
 
 
-def replace_snapshot(df: DataFrame, path: str, keys: Sequence[str] = (), keep_schema: bool = False, transaction: str | None = None, **options) -> int:
+def replace_snapshot(df: DataFrame, path: str, keys: Sequence[str] = (), keep_schema: bool = False, **options) -> int:
     """Put ``df`` in the place of all rows; ``df`` may read the table. ``keep_schema`` fits it into the columns there are.
 
     Readers go on with the version they began with; one that starts sees all of the old rows or all of the new.
     """
     spark = df.sparkSession
     base = snapshot(spark, path)
-    if transaction in base.transactions:
-        return base.version
     if keep_schema and base.schema is not None:
         extra = [c for c in df.columns if c not in base.schema.names]
         if extra:
             raise SpecError(f"the target has no columns {', '.join(extra)}; overwrite it to change its schema")
         df = df.select(*[(col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in base.schema.fields])
     keys = keys or tuple(k for k in base.keys if k in df.columns)
-    return _commit(spark, path, base, df.schema, keys, _write_data(df, path, keys, options), list(base.files), transaction)
+    return _commit(spark, path, base, df.schema, keys, _write_data(df, path, keys, options), list(base.files), None)
 
 
 def _may_hold(files: dict[str, tuple | None], incoming: list[tuple[tuple, tuple]]) -> list[str]:
@@ -204,7 +206,7 @@ def _may_hold(files: dict[str, tuple | None], incoming: list[tuple[tuple, tuple]
     return out
 
 
-def upsert_snapshot(incoming: DataFrame, path: str, keys: Sequence[str], order_by: Sequence[str], transaction: str | None = None, **options) -> int:
+def upsert_snapshot(incoming: DataFrame, path: str, keys: Sequence[str], order_by: Sequence[str], **options) -> int:
     """Insert or replace by key: of the incoming rows of a key the greatest by ``order_by`` wins. Return the version.
 
     The source is read once, into a staged copy in ranges of the key. Of the files whose range meets one of those,
@@ -213,8 +215,6 @@ def upsert_snapshot(incoming: DataFrame, path: str, keys: Sequence[str], order_b
     """
     spark = incoming.sparkSession
     base = snapshot(spark, path)
-    if transaction in base.transactions:
-        return base.version
     if base.schema is not None and tuple(base.keys) != tuple(keys):
         raise SpecError(f"the table at {path} has the keys {list(base.keys)}, not {list(keys)}")
     fields = _key_fields(incoming.schema, keys)
@@ -236,7 +236,7 @@ def upsert_snapshot(incoming: DataFrame, path: str, keys: Sequence[str], order_b
         met = stored.join(ranged.select(*[col(k) for k in keys]), list(keys), "left_semi").select("_file").distinct()
         touched = sorted("/".join(r[0].split("/")[-2:]) for r in met.collect())  # as many as files to rewrite
     rows = merge_rows(_rows(spark, path, base, touched), ranged, keys) if touched else ranged
-    version = _commit(spark, path, base, schema, keys, _write_data(rows, path, keys, options), touched, transaction)
+    version = _commit(spark, path, base, schema, keys, _write_data(rows, path, keys, options), touched, None)
     delete_path(spark, once.staged_path)
     delete_path(spark, ranged.staged_path)
     return version

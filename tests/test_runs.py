@@ -10,7 +10,7 @@ from millrace.errors import SpecError
 from millrace.plans import RunSpec, State, StateStore, after_cursor, after_cursor_lenient, build, run, sync_plan
 from millrace.plans.incremental import next_cursor, parse_cursor, stepped_back
 from millrace.runlog import RunLog
-from millrace.sinks import read_runs, write_files
+from millrace.sinks import read_snapshot, read_runs, write_files
 from millrace.sources import mongo_predicate
 
 
@@ -309,3 +309,30 @@ def test_building_pushes_filters_into_the_scan(spark):
     one = spec(f"{SF}/lineitem.parquet", "/unused", transform_config=chain(("filter_rows", {"predicate": "l_quantity < 5"}), ("drop_fields", {"fields": ["l_tax"]})))
     text = plan(build(spark, one))
     assert "LessThan(l_quantity,5.0)" in text and "l_tax" not in text.split("ReadSchema")[1]
+
+
+def test_rejects_are_replaced_with_the_rows(spark, where):
+    write_files(spark.range(10), where("in"))
+    target = {"quarantine": {"path": where("bad"), "checks": {"small": "id < 7"}}}
+    for _ in range(2):
+        run(spark, spec(where("in"), where("out"), destination=target), raise_errors=True)
+    assert spark.read.parquet(where("bad")).count() == 3
+    assert spark.read.parquet(where("out") + "/t").count() == 7
+
+
+def test_snapshot_destinations(spark, where):
+    write_files(spark.range(10), where("in"))
+    target = {"layout": "snapshots", "quarantine": {"path": where("bad"), "checks": {"small": "id < 7"}}}
+    for _ in range(2):
+        result = run(spark, spec(where("in"), where("out"), destination=target), raise_errors=True)
+    assert (result.records_written, result.records_failed) == (7, 3)
+    assert rows(read_snapshot(spark, where("out") + "/t")) == [(i,) for i in range(7)]
+    target = {"layout": "snapshots", "keys": ["id"], "order_by": ["id"]}
+    run(spark, spec(where("in"), where("up"), sync_mode="upsert", cursor_field="id", destination=target), raise_errors=True)
+    assert read_snapshot(spark, where("up") + "/t").count() == 10
+    again = spec(where("up") + "/t", where("copy"))
+    again.source["layout"] = "snapshots"
+    run(spark, again, raise_errors=True)
+    assert spark.read.parquet(where("copy") + "/t").count() == 10
+    refused = {"layout": "snapshots", "partition_by": ["id"]}
+    assert run(spark, spec(where("in"), where("no"), destination=refused)).status == "failed"

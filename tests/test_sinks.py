@@ -4,6 +4,7 @@ import os
 import pytest
 from conftest import plan, rows
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from millrace.errors import MissingConnectorError, SpecError
 from millrace.session import path_exists
@@ -239,3 +240,36 @@ def test_vendor_write_options(spark):
         vendor_write_options(big, "upsert")
     with pytest.raises(MissingConnectorError):
         write_vendor(spark.range(1), big)
+
+
+def test_quarantine_judges_each_row_once(spark, where):
+    """A hook that answers differently every time still puts each row in one place."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def hook(batches):
+        import random
+
+        for b in batches:
+            seen.add(len(b))
+            b["v"] = [random.choice([-1, 1]) for _ in range(len(b))]
+            yield b
+
+    df = spark.range(400).withColumn("v", F.lit(0)).mapInPandas(hook, "id long, v int")
+    good, bad = write_with_quarantine(df, where("g"), where("b"), checks={"positive": "v > 0"})
+    assert seen.value == 400 and good + bad == 400
+    kept, rejected = spark.read.parquet(where("g")), spark.read.parquet(where("b"))
+    assert (kept.count(), rejected.count()) == (good, bad)
+    assert sorted(r[0] for r in kept.select("id").union(rejected.select("id")).collect()) == list(range(400))
+    assert kept.where("v < 0").isEmpty() and rejected.where("v > 0").isEmpty()
+
+
+def test_json_arrays_by_partition_with_compression(spark, where):
+    df = spark.range(60).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 3 END AS p", "'x' AS t")
+    write_files(df, where("j"), "json", partition_by=["p"], compression="gzip", batch_size=7)
+    names = files(where("j"), ".txt.gz")
+    assert len(names) >= 9 and all("/p=" in n for n in names)
+    back = spark.read.schema("id long, t string, p long").option("multiLine", True).json(where("j"))
+    assert rows(back, "id", "p", "t") == rows(df)
+    assert max(r["count"] for r in back.groupBy(F.input_file_name()).count().collect()) == 7
+    with pytest.raises(SpecError):
+        write_files(df, where("k"), "json", partition_by=["absent"])

@@ -8,9 +8,12 @@ from millrace.session import work_path
 from millrace.sinks import (
     check_constraints,
     read_partitioned,
+    read_snapshot,
     replace_files,
+    replace_snapshot,
     truncate_files,
     upsert_files,
+    upsert_snapshot,
     write_files,
     write_partitioned,
     write_singer,
@@ -93,6 +96,25 @@ def snk_overwrite(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("snk_overwrite_snapshot", "SELECT o_orderkey, o_orderstatus, o_totalprice / 2 AS o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+def snk_overwrite_snapshot(spark, sf):
+    """A table of versions: the new rows read the old ones, and readers see either."""
+    path = work_path(spark, "snapshots")
+    replace_snapshot(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    stored = read_snapshot(spark, path).where("o_orderstatus <> 'F'")
+    replace_snapshot(stored.withColumn("o_totalprice", F.col("o_totalprice") / 2), path, keep_schema=True)
+    return read_snapshot(spark, path)
+
+
+@query("snk_json_partitioned", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def snk_json_partitioned(spark, sf):
+    """JSON arrays in one directory per region."""
+    path = work_path(spark, "arrays")
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    write_files(nations, path, "json", partition_by=["n_regionkey"], compression="gzip")
+    return spark.read.schema(nations.schema).option("multiLine", True).json(path)
+
+
 @query("snk_truncate", "SELECT c_custkey, c_name, c_nationkey, NULL::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def snk_truncate(spark, sf):
     path = work_path(spark, "truncate")
@@ -122,10 +144,10 @@ UPSERT_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_qu
 )
 def snk_upsert(spark, sf):
     lines = table(spark, sf, "lineitem")
-    path = work_path(spark, "upsert")
-    write_files(lines.where("l_shipdate < DATE'1999-01-01'"), path)
-    upsert_files(lines.where("l_shipdate >= DATE'1999-01-01'"), path, ["l_orderkey", "l_linenumber"], UPSERT_ORDER)
-    return spark.read.parquet(path)
+    path, keys = work_path(spark, "upsert"), ["l_orderkey", "l_linenumber"]
+    replace_snapshot(lines.where("l_shipdate < DATE'1999-01-01'"), path, keys)
+    upsert_snapshot(lines.where("l_shipdate >= DATE'1999-01-01'"), path, keys, UPSERT_ORDER)
+    return read_snapshot(spark, path)
 
 
 @query(
