@@ -2,6 +2,8 @@
 
 from .basic import add_constant, compute_expression, drop_fields, filter_rows, noop, rename_fields, type_cast
 from .custom import custom_batch, custom_record
+from .intervals import interval_join
+from .quantiles import exact_quantiles
 from .registry import apply_chain, register_transform, resolve_chain, transform_names
 from .relational import asof_join, range_join, top_k_per_group
 from .segments import Segments
@@ -16,7 +18,9 @@ __all__ = [
     "custom_batch",
     "custom_record",
     "drop_fields",
+    "exact_quantiles",
     "filter_rows",
+    "interval_join",
     "noop",
     "range_join",
     "register_transform",

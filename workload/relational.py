@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import asof_join, range_join, sql_transform, top_k_per_group
+from millrace.operators import Segments, asof_join, exact_quantiles, interval_join, range_join, sql_transform, top_k_per_group
 from millrace.session import work_path
 from millrace.sinks import write_files
 
@@ -519,3 +519,60 @@ sql_query(
     UNPIVOT (amount FOR measure IN (size, price))
     """,
 )
+
+
+@query(
+    "sql_window_events",
+    """
+    SELECT event_id, user_id, row_number() OVER w AS n, rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS day_place,
+           dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS day_number, count(*) OVER (PARTITION BY user_id) AS events,
+           max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best, max(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS best_of_7,
+           lag(event_type, 2, 'none') OVER w AS two_before, lead(event_id) OVER w AS next_event
+    FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, ts, event_type, value FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id)
+    """,
+)
+def sql_window_events(spark, sf):
+    """Windows over all event rows, where one user holds a third of them."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id"))
+    events = table(spark, sf, "events").select("event_id", user.alias("user_id"), F.col("ts").cast("date").alias("day"), "event_type", "value")
+    s = Segments(events, ["user_id"], ["day"], tie=["event_id"]).row_number("n").rank("day_place", dense="day_number")
+    s = s.total({"events": ("count", F.lit(1))}).running({"best": ("max", "value")}).settled()
+    s = s.moving(6, 0, {"best_of_7": F.max("value")}).shift({"two_before": ("event_type", 2, "none"), "next_event": ("event_id", -1, None)})
+    return s.frame().drop("day", "event_type", "value")
+
+
+RANGES = "s_suppkey, DATE '1992-01-01' + CAST(s_suppkey * 37 % 2400 AS INTEGER) AS low, CASE WHEN s_suppkey % 50 > 0 THEN DATE '1992-01-01' + CAST(s_suppkey * 37 % 2400 + s_suppkey % 20 AS INTEGER) END AS high"
+
+
+@query(
+    "sql_join_range_outer",
+    f"""
+    SELECT s_suppkey, count(o_orderkey) AS orders, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order
+    FROM (SELECT {RANGES} FROM supplier) s FULL JOIN orders o ON CAST(o_orderdate AS DATE) >= low AND (high IS NULL OR CAST(o_orderdate AS DATE) < high)
+    GROUP BY s_suppkey
+    """,
+)
+def sql_join_range_outer(spark, sf):
+    """Orders in date ranges, some open, some empty: rows of both sides that meet nothing stay."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    ranges = table(spark, sf, "supplier").selectExpr(
+        "s_suppkey",
+        "date_add(DATE'1992-01-01', CAST(s_suppkey * 37 % 2400 AS INTEGER)) AS low",
+        "CASE WHEN s_suppkey % 50 > 0 THEN date_add(DATE'1992-01-01', CAST(s_suppkey * 37 % 2400 + s_suppkey % 20 AS INTEGER)) END AS high",
+    )
+    met = interval_join(orders, ranges, "day", "low", "high", "full")
+    return met.groupBy("s_suppkey").agg(F.count("o_orderkey").alias("orders"), F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
+
+
+@query(
+    "sql_exact_quantiles",
+    """
+    SELECT l_returnflag, share, round(CASE share WHEN 0.25 THEN q1 WHEN 0.5 THEN q2 ELSE q3 END, 4) AS price
+    FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS q2, quantile_cont(l_extendedprice, 0.99) AS q3
+          FROM lineitem GROUP BY l_returnflag), (SELECT CAST(unnest([0.25, 0.5, 0.99]) AS DOUBLE) AS share)
+    """,
+)
+def sql_exact_quantiles(spark, sf):
+    found = exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.99])
+    return found.select("l_returnflag", "share", F.round("quantile", 4).alias("price"))
