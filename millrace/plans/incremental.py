@@ -6,8 +6,9 @@ import math
 from dataclasses import asdict, dataclass, replace
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..columns import col
 from ..errors import SpecError
@@ -161,6 +162,48 @@ class StateStore:
         row.coalesce(1).write.mode("append").json(self.path)
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row."""
+    return F.sha2(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+
+
+class Ties:
+    """Which rows with the greatest cursor value a stream has taken: a table of hashes and counts per run, beside the states.
+
+    Rows that are equal in all columns are told apart by their number: a third equal row is new where two were taken.
+    """
+
+    def __init__(self, store: StateStore, state: State):
+        self._spark = store.spark
+        self._folder = f"{store.path}__ties/{_file_name(state.pipeline)}/{_file_name(state.stream)}"
+        self._state = state
+
+    def after(self, df: DataFrame, cursor_field: str, last: CursorValue) -> DataFrame:
+        """Rows beyond ``last``, and those equal to it that were not taken yet."""
+        beyond = after_cursor(df, cursor_field, last)
+        path = f"{self._folder}/{self._state.run}"
+        if last is None or not path_exists(self._spark, path):
+            return beyond
+        equal = df.where(col(cursor_field) == _last(last, df.schema[cursor_field].dataType)).withColumn("_tie", _row_hash(df))
+        taken = self._spark.read.schema("_tie string, _taken bigint").parquet(path)
+        number = F.row_number().over(Window.partitionBy("_tie").orderBy("_tie"))
+        fresh = equal.withColumn("_nth", number).join(taken, "_tie", "left").where(F.col("_nth") > F.coalesce("_taken", F.lit(0)))
+        return beyond.unionByName(fresh.select(*[col(c) for c in df.columns]))
+
+    def save(self, read: DataFrame, cursor_field: str, cursor: CursorValue, last: CursorValue) -> None:
+        """Remember the rows of this run whose cursor is the new one, with those taken before if it has not moved."""
+        path = f"{self._folder}/{self._state.run + 1}"
+        hashes = read.where(col(cursor_field) == _last(cursor, read.schema[cursor_field].dataType)).select(_row_hash(read).alias("_tie"), F.lit(1).cast("bigint").alias("_taken"))
+        old = f"{self._folder}/{self._state.run}"
+        if cursor == last and path_exists(self._spark, old):
+            hashes = hashes.unionByName(self._spark.read.schema("_tie string, _taken bigint").parquet(old))
+        hashes.groupBy("_tie").agg(F.sum("_taken").alias("_taken")).write.mode("overwrite").parquet(path)
+
+
+def _file_name(text: str) -> str:
+    return quote(text, safe="") or "_"
+
+
 # Sync modes, and for each whether the cursor limits the read and how rows are written.
 _SYNC = {
     "full_refresh": (False, "overwrite"),

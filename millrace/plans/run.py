@@ -15,7 +15,7 @@ from ..columns import col
 from ..errors import SpecError
 from ..observe import FooterCount, Watch
 from ..operators.registry import apply_step, resolve_chain
-from ..session import path_exists
+from ..session import delete_path, path_exists, staged
 from ..sinks.checks import require_constraints, split_once
 from ..sinks.files import layouts, replace_files, truncate_files, write_files, write_run
 from ..sinks.jdbc import write_jdbc
@@ -30,6 +30,7 @@ from ..sources.vendor import read_vendor
 from .incremental import (
     State,
     StateStore,
+    Ties,
     after_cursor,
     after_cursor_lenient,
     next_cursor,
@@ -299,7 +300,14 @@ def run(
 
     try:
         mode = write_mode_of(spec.sync_mode, spec.cursor_field, spec.destination.get("write_mode"))
-        df = from_cursor(read_source(spark, spec.source), spec, state)
+        df, ties = read_source(spark, spec.source), None
+        if spec.keep_ties and store:
+            ties = Ties(store, state)
+            known = spec.cursor_field in df.columns and state.cursor_value is not None
+            last = parse_cursor(state.cursor_value, df.schema[spec.cursor_field].dataType) if known else None
+            df = increment = staged(ties.after(df, spec.cursor_field, last) if known else from_cursor(df, spec, state), "increment")
+        else:
+            df = from_cursor(df, spec, state)
         cursor, cursor_type = None, None
         if uses_cursor and spec.cursor_field in df.columns:
             cursor, cursor_type = next_cursor(df, spec.cursor_field).alias("cursor"), df.schema[spec.cursor_field].dataType
@@ -336,6 +344,11 @@ def run(
     if cursor is not None and state.cursor_value is not None and cursor_value is not None:
         cursor_value = max(cursor_value, state.cursor_value, key=lambda text: parse_cursor(text, cursor_type))
     written = rows[-1]
+    if ties:
+        reached = parse_cursor(cursor_value, cursor_type) if cursor_value is not None else last
+        if reached is not None:
+            ties.save(increment, spec.cursor_field, reached, last)
+        delete_path(spark, increment.staged_path)
     if store and uses_cursor:
         store.save(state.advanced(spec.cursor_field, cursor_value, written))
     return RunResult(

@@ -39,6 +39,7 @@ class RunSpec:
     sync_mode: str = "full_refresh"
     cursor_field: str | None = None
     lookback: float = 0
+    keep_ties: bool = False
 
     @classmethod
     def from_dict(cls, spec: Mapping[str, Any], connections: Mapping[Any, Mapping[str, Any]] | None = None) -> RunSpec:
@@ -47,7 +48,9 @@ class RunSpec:
         ``source_config`` / ``destination_config`` overlay the connection found under ``source_connection_id`` /
         ``destination_connection_id`` in ``connections``. ``replication_key`` in the source names the cursor too.
         ``lookback`` (seconds, or units of a numeric cursor) reads that much again before the saved cursor, for rows
-        that arrive late; only an upsert can take rows twice, so it needs that sync mode.
+        that arrive late; only an upsert can take rows twice, so it needs that sync mode. ``keep_ties`` is for
+        sources where rows with the greatest cursor value may arrive after it was read: an incremental sync then
+        remembers which of them it has taken and takes the others.
         """
         if not spec.get("name"):
             raise SpecError("a spec needs a name")
@@ -62,6 +65,8 @@ class RunSpec:
         cursor = spec.get("cursor_field") or sides["source"].get("cursor_field") or sides["source"].get("replication_key")
         if spec.get("lookback") and spec.get("sync_mode") != "upsert":
             raise SpecError("lookback reads rows again, so it needs sync mode upsert")
+        if spec.get("keep_ties") and (spec.get("sync_mode") != "incremental" or not cursor):
+            raise SpecError("keep_ties needs sync mode incremental and a cursor_field")
         return cls(
             name=spec["name"],
             source=sides["source"],
@@ -70,6 +75,7 @@ class RunSpec:
             sync_mode=spec.get("sync_mode") or "full_refresh",
             cursor_field=cursor,
             lookback=spec.get("lookback") or 0,
+            keep_ties=bool(spec.get("keep_ties")),
         )
 
     @property

@@ -336,3 +336,24 @@ def test_snapshot_destinations(spark, where):
     assert spark.read.parquet(where("copy") + "/t").count() == 10
     refused = {"layout": "snapshots", "partition_by": ["id"]}
     assert run(spark, spec(where("in"), where("no"), destination=refused)).status == "failed"
+
+
+def test_rows_that_tie_with_the_cursor_arrive_once(spark, where):
+    def arrive(*values):
+        write_files(spark.createDataFrame(list(values), "at int, v string"), where("in"))
+
+    store = StateStore(spark, where("state"))
+    sync = spec(where("in"), where("out"), sync_mode="incremental", cursor_field="at", keep_ties=True)
+    arrive((1, "a"), (2, "b"), (2, "b"), (2, None))
+    run(spark, sync, store, raise_errors=True)
+    arrive((2, "late"), (2, "b"), (1, "too late"))
+    assert run(spark, sync, store, raise_errors=True).records_written == 2
+    assert run(spark, sync, store, raise_errors=True).records_written == 0
+    arrive((2, None), (3, "c"))
+    run(spark, sync, store, raise_errors=True)
+    arrive((2, "past"), (3, "c"))
+    assert run(spark, sync, store, raise_errors=True).records_written == 1
+    want = [(1, "a"), (2, "b"), (2, "b"), (2, "b"), (2, "late"), (2, None), (2, None), (3, "c"), (3, "c")]
+    assert sorted([tuple(r) for r in read_runs(spark, where("out") + "/t").collect()], key=repr) == sorted(want, key=repr)
+    with pytest.raises(SpecError):
+        spec(where("in"), where("out"), sync_mode="upsert", cursor_field="at", keep_ties=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from millrace.operators import sql_transform
 from millrace.plans import RunSpec, StateStore, after_cursor, after_cursor_lenient, run
 from millrace.session import work_path
@@ -72,6 +74,23 @@ def inc_two_runs(spark, sf):
     return read_runs(spark, f"{target}/orders")
 
 
+@query("inc_ties", "SELECT * FROM orders")
+def inc_ties(spark, sf):
+    """Rows of the greatest date arrive in two parts, the second after the first was read; a third run meets nothing new."""
+    orders = table(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderdate")).first()[0]
+    late = (F.col("o_orderdate") == F.lit(last)) & (F.col("o_orderkey") % 2 == 0)
+    landing, target = work_path(spark, "landing"), work_path(spark, "target")
+    store = StateStore(spark, work_path(spark, "state"))
+    spec = _spec(landing, target, sync_mode="incremental", cursor_field="o_orderdate", keep_ties=True)
+    write_files(orders.where(~late), landing)
+    run(spark, spec, store, raise_errors=True)
+    write_files(orders.where(late), landing)
+    for _ in range(2):
+        run(spark, spec, store, raise_errors=True)
+    return read_runs(spark, f"{target}/orders")
+
+
 @query("inc_null_cursor", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def inc_null_cursor(spark, sf):
     """Three runs over one source: rows without a cursor value are appended once."""
