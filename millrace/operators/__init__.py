@@ -5,7 +5,7 @@ from .custom import custom_batch, custom_record
 from .intervals import interval_join
 from .quantiles import exact_quantiles
 from .registry import apply_chain, register_transform, resolve_chain, transform_names
-from .relational import asof_join, range_join, top_k_per_group
+from .relational import asof_join, asof_join_scan, range_join, top_k_per_group
 from .segments import Segments
 from .sql import sql_transform
 
@@ -14,6 +14,7 @@ __all__ = [
     "add_constant",
     "apply_chain",
     "asof_join",
+    "asof_join_scan",
     "compute_expression",
     "custom_batch",
     "custom_record",

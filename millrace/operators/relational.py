@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..columns import col, seconds_between
 from ..errors import SpecError
+from .segments import Segments
 
 
 def asof_join(
@@ -68,6 +69,30 @@ def asof_join(
     return matched.unionByName(unmatched)
 
 
+def asof_join_scan(left: DataFrame, right: DataFrame, on: Sequence[str], by: str, values: Sequence[str], prefix: str = "") -> DataFrame:
+    """Like :func:`asof_join`, without a slice width to choose and with one scan of each side.
+
+    Rows of both sides are laid out once in the order of key and ``by`` (``Segments``), in pieces of equal size however
+    the keys are distributed; the last right row so far is carried from piece to piece. ``by`` and ``values`` must have
+    an order.
+    """
+    _same_line((left, by), (right, by))
+    known = F.lit(True)
+    for name in [*on, by]:
+        known = known & col(name).isNotNull()
+    keys = [f"_on_{i}" for i in range(len(on))]
+    place = lambda df: [*[col(k).alias(n) for k, n in zip(on, keys)], _number(df, by).alias("_at")]
+    row = F.struct(*[col(c) for c in left.columns]).alias("_row")
+    hit = F.struct(col(by).alias("_at"), *[col(v) for v in values]).alias("_hit")
+    lefts = left.select(known.alias("_known"), *place(left), F.lit(1).alias("_side"), row)
+    rights = right.where(known).select(F.lit(True).alias("_known"), *place(right), F.lit(0).alias("_side"), hit)
+    # of one instant right rows come first, the greatest last among them, then left rows
+    marked = lefts.unionByName(rights, allowMissingColumns=True)
+    seen = Segments(marked, keys, ["_at", "_side", "_hit"]).running({"_found": ("last", "_hit")}).frame().where("_side = 1")
+    found = F.when(F.col("_known"), F.col("_found"))
+    return seen.select(*[F.col("_row").getField(c).alias(c) for c in left.columns], *[found.getField(v).alias(prefix + v) for v in values])
+
+
 def _number(df: DataFrame, name: str) -> Column:
     """Position on a number line: seconds for dates and timestamps. Zone-free types are counted without a zone."""
     value, data_type = col(name), df.schema[name].dataType

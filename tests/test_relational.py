@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millrace.errors import SpecError
-from millrace.operators import asof_join, range_join, sql_transform, top_k_per_group
+from millrace.operators import asof_join, asof_join_scan, range_join, sql_transform, top_k_per_group
 
 small = st.one_of(st.none(), st.integers(0, 2))
 left_rows = st.lists(st.tuples(small, st.one_of(st.none(), st.integers(-5, 30))), min_size=1, max_size=12)
@@ -79,3 +79,30 @@ def test_range_join_refuses_forms_that_repeat_ranges(spark):
     for how in ("right", "full"):
         with pytest.raises(SpecError):
             range_join(spark.range(3), r, "id", "lo", "hi", 10, how=how)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(left_rows, right_rows)
+def test_asof_scan_against_every_pair(spark, lefts, rights):
+    left = spark.createDataFrame([(i, *r) for i, r in enumerate(lefts)], "i long, k long, at long")
+    right = spark.createDataFrame(rights, "k long, at long, v long")
+    got = dict(rows(asof_join_scan(left, right, ["k"], "at", ["v"]), "i", "v"))
+    for i, (k, at) in enumerate(lefts):
+        earlier = [(t, v) for key, t, v in rights if None not in (k, at, key, t) and key == k and t <= at]
+        assert got[i] == (max(earlier)[1] if earlier else None)
+    assert len(got) == len(lefts)
+
+
+def test_asof_scan_reads_each_side_once_and_splits_a_hot_key(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    left = spark.range(1000).selectExpr("1L AS k", "id AS at").mapInPandas(seen, "k long, at long")
+    right = spark.range(0, 1000, 10).selectExpr("1L AS k", "id AS at", "id AS v").mapInPandas(seen, "k long, at long, v long")
+    joined = asof_join_scan(left, right, ["k"], "at", ["v"])
+    assert joined.where("v = floor(at / 10) * 10").count() == 1000
+    assert read.value == 1100

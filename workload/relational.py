@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import Segments, asof_join, exact_quantiles, interval_join, range_join, sql_transform, top_k_per_group
+from millrace.operators import Segments, asof_join, asof_join_scan, exact_quantiles, interval_join, range_join, sql_transform, top_k_per_group
 from millrace.session import work_path
 from millrace.sinks import write_files
 
@@ -576,3 +576,20 @@ def sql_join_range_outer(spark, sf):
 def sql_exact_quantiles(spark, sf):
     found = exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.99])
     return found.select("l_returnflag", "share", F.round("quantile", 4).alias("price"))
+
+
+@query(
+    "asof_join_scan",
+    """
+    SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_event_id, v.value AS view_value
+    FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, ts FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, ts, value FROM events WHERE event_type = 'view') v
+    ON p.user_id = v.user_id AND p.ts >= v.ts
+    """,
+)
+def asof_scan(spark, sf):
+    """One user holds a third of both sides."""
+    events = table(spark, sf, "events").withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = events.where("event_type = 'view'").select("event_id", "user_id", "ts", "value")
+    return asof_join_scan(purchases, views, ["user_id"], "ts", ["event_id", "value"], prefix="view_")
