@@ -26,6 +26,22 @@ OPERATOR_RUNS = (
     "run_id string, correlation_id string, operator_type string, operator_name string, step int, "
     "records_in bigint, records_out bigint, records_failed bigint"
 )
+_ALERT = ("alert_config_id", "job_id", "pipeline_id", "level", "status", "message", "delivery_method", "recipient")
+# Fixed value: what a run's outcome is called as a job.
+JOB_STATUS = {"completed": "success", "failed": "failed"}
+JOBS = (
+    "id bigint, pipeline_id bigint, pipeline string, run_id string, correlation_id string, status string, "
+    "records_extracted bigint, records_transformed bigint, records_loaded bigint, records_failed bigint, error_message string, "
+    "created_at timestamp, started_at timestamp, completed_at timestamp"
+)
+JOB_LOGS = "id bigint, job_id bigint, correlation_id string, level string, message string, timestamp timestamp"
+OPERATOR_LOGS = (
+    "id bigint, job_id bigint, correlation_id string, operator_type string, operator_name string, level string, message string, timestamp timestamp"
+)
+ALERTS = (
+    "id bigint, alert_config_id bigint, job_id bigint, pipeline_id bigint, level string, status string, message string, "
+    "delivery_method string, recipient string, timestamp timestamp"
+)
 
 
 def _counts(operator: OperatorMetrics) -> tuple[int, int, int]:
@@ -51,6 +67,59 @@ class RunLog:
     def operator_runs(self) -> DataFrame:
         return self._table("operator_runs", OPERATOR_RUNS)
 
+    def jobs(self) -> DataFrame:
+        """Recorded runs as jobs, for ``job_summary``, ``job_history``, ``with_durations`` and ``failure_alerts``."""
+        return self._table("jobs", JOBS)
+
+    def job_logs(self) -> DataFrame:
+        return self._table("job_logs", JOB_LOGS)
+
+    def operator_logs(self) -> DataFrame:
+        return self._table("operator_logs", OPERATOR_LOGS)
+
+    def alerts(self) -> DataFrame:
+        return self._table("alerts", ALERTS)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """What ``trace`` and ``trace_counts`` look through."""
+        return dict(zip(TRACE_KINDS, (self.jobs(), self.runs(), self.operator_runs(), self.job_logs(), self.operator_logs())))
+
+    def _append(self, name: str, rows: Sequence[tuple], schema: str) -> None:
+        if rows:
+            local_frame(self.spark, rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _next_id(self, table: DataFrame) -> int:
+        return (table.agg(F.max("id")).first()[0] or 0) + 1
+
+    def record_job(self, result: RunResult, pipeline_id: int, correlation_id: str | None = None, rules: Sequence[Mapping[str, object]] = ()) -> int:
+        """Record a run as a job too: its lines of log, those of its operators, and an alert for each rule if it failed.
+
+        Returns the job's id. One job after the other: ids are counted on.
+        """
+        correlation = correlation_id or result.run_id
+        self.record(result, correlation)
+        job = self._next_id(self.jobs())
+        status = JOB_STATUS[result.status]
+        counts = (result.records_read, result.records_processed, result.records_written, result.records_failed)
+        row = (job, pipeline_id, result.name, result.run_id, correlation, status, *counts, result.error, result.started_at, result.started_at, result.completed_at)
+        ended = ("ERROR", f"Job {job} failed: {result.error}") if result.error else ("INFO", f"Job {job} wrote {result.records_written} rows, {result.records_failed} failed")
+        lines = [("INFO", f"Job {job} started", result.started_at), (*ended, result.completed_at)]
+        first = self._next_id(self.job_logs())
+        self._append("job_logs", [(first + i, job, correlation, level, text, at) for i, (level, text, at) in enumerate(lines)], JOB_LOGS)
+        first = self._next_id(self.operator_logs())
+        steps = [
+            (first + i, job, correlation, o.operator_type, o.operator_name, "WARNING" if o.records_failed else "INFO",
+             f"{o.records_in} rows in, {o.records_out} out, {o.records_failed} failed", result.completed_at)
+            for i, o in enumerate(result.operators)
+        ]
+        self._append("operator_logs", steps, OPERATOR_LOGS)
+        if status == "failed" and rules:
+            raised = failure_alerts(local_frame(self.spark, [row], JOBS), rules).collect()  # one per rule
+            first = self._next_id(self.alerts())
+            self._append("alerts", [(first + i, *[a[c] for c in _ALERT], result.completed_at) for i, a in enumerate(raised)], ALERTS)
+        self._append("jobs", [row], JOBS)  # last: a job that is there has its log
+        return job
+
     def record(self, result: RunResult, correlation_id: str | None = None) -> int:
         """Append a run and its operators; returns its number within the pipeline."""
         mine = self.runs().where(col("pipeline") == result.name)
@@ -65,9 +134,8 @@ class RunLog:
             (result.run_id, correlation, o.operator_type, o.operator_name, i, *_counts(o))
             for i, o in enumerate(result.operators)
         ]
-        for name, rows, schema in (("runs", [run], RUNS), ("operator_runs", operators, OPERATOR_RUNS)):
-            if rows:
-                local_frame(self.spark, rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+        self._append("runs", [run], RUNS)
+        self._append("operator_runs", operators, OPERATOR_RUNS)
         return number
 
 

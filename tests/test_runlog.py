@@ -86,3 +86,33 @@ def test_run_numbers(spark):
     pipelines = spark.createDataFrame([(1,), (2,)], "pipeline_id long")
     runs = spark.createDataFrame([(1, 3), (1, 7)], "pipeline_id long, run_number long")
     assert rows(runlog.next_run_numbers(pipelines, runs)) == [(1, 8), (2, 1)]
+
+
+def test_jobs_of_runs_answer_the_questions(spark, where):
+    """A run that succeeds and one that fails, read back through summary, trace, logs and alerts."""
+    from millrace.plans import RunSpec, run
+    from millrace.sinks import write_files
+
+    write_files(spark.range(10), where("in"))
+    log = runlog.RunLog(spark, where("log"))
+    assert log.jobs().count() == 0
+    rules = [{"id": 4, "alert_type": "job_failure", "delivery_method": "email", "recipient": "a@b"}, {"id": 5, "alert_type": "job_failure", "enabled": False}]
+    source = {"type": "local_file", "file_path": where("in"), "table_name": "t"}
+    target = {"type": "local_file", "file_path": where("out"), "table_name": "t", "quarantine": {"path": where("bad"), "checks": {"small": "id < 7"}}}
+    good = RunSpec.from_dict({"name": "p", "source_config": source, "destination_config": target})
+    bad = RunSpec.from_dict({"name": "p", "source_config": {**source, "file_path": where("absent")}, "destination_config": target})
+    assert log.record_job(run(spark, good), 9, "c1", rules) == 1
+    assert log.record_job(run(spark, bad), 9, "c2", rules) == 2
+    summary = runlog.job_summary(log.jobs()).first()
+    assert (summary.total_jobs, summary.successful_jobs, summary.failed_jobs) == (2, 1, 1)
+    assert (summary.total_records_extracted, summary.total_records_loaded) == (10, 7)
+    assert [r.id for r in runlog.job_history(log.jobs()).collect()] == [2, 1]
+    assert all(r.duration_seconds >= 0 for r in runlog.with_durations(log.jobs()).collect())
+    counts = {r.correlation_id: r for r in runlog.trace_counts(log.tables()).collect()}
+    assert (counts["c1"].jobs, counts["c1"].pipeline_runs, counts["c1"].operator_runs, counts["c1"].job_logs, counts["c1"].operator_logs) == (1, 1, 2, 2, 2)
+    assert counts["c2"].job_logs == 2 and counts["c2"].operator_runs == 0
+    assert [r.level for r in runlog.job_logs(log.job_logs(), 2).collect()] == ["INFO", "ERROR"]
+    assert rows(log.alerts(), "id", "job_id", "alert_config_id", "recipient", "status") == [(1, 2, 4, "a@b", "pending")]
+    assert log.alerts().first().message.startswith("Job 2 for Pipeline 9 failed: ")
+    assert runlog.failure_alerts(log.jobs(), rules).count() == 1
+    assert [r.job_id for r in runlog.alert_list(log.alerts(), pipeline_id=9).collect()] == [2]
