@@ -8,6 +8,7 @@ and are therefore hashed by ``run_hash``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,15 @@ class Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task and would keep it from the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Texts]:
     """A text column in runs of about ``size`` bytes; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
@@ -115,6 +125,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Texts]:
         end = min(end, len(column))
         yield Texts(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], start)
         start = end
+    give_back()
 
 
 class Words:
