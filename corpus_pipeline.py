@@ -14,6 +14,7 @@ from millrace.llm.stage import written
 from millrace.llm.suffix_dedup import remove_repeated_bytes
 from millrace.llm.toxicity import without_toxic
 
+ROW = "_pipeline_row"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -23,15 +24,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group linked by a similarity of 0.8 on sequences of five words, or repeating id and text."""
+    """Keep one row of each group linked by a similarity of 0.8 on sequences of five words, or repeating id and text.
+
+    Rows are chosen by number first, so whole rows move once. ``docs`` reads a table: its rows keep their numbers.
+    """
     keys = ["no_id", "id", "th", "no_text"]
     id_keys = [F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+    numbered = docs.select("*", F.monotonically_increasing_id().alias(ROW))
     th = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(*id_keys, th.alias("th"), F.isnull("text").alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    once = rows.groupBy(*keys).agg(F.min("row").alias("row"))  # before the shuffle too, which the join then shares
+    rows = numbered.select(*id_keys, th.alias("th"), F.isnull("text").alias("no_text"), ROW).groupBy(*keys).agg(F.min(ROW).alias(ROW))
     no_text = F.when(F.col("th") == F.xxhash64(F.lit("")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     kept = near_duplicates(docs, size=5, percent=80, bands=30).where("kept").select(*id_keys, "th", F.explode(no_text).alias("no_text"))
-    return once.join(kept, keys, "left_semi").select("row.*")
+    return numbered.join(rows.join(kept, keys, "left_semi").select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
