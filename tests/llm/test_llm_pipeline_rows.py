@@ -112,3 +112,11 @@ def test_every_stage_against_a_plain_version(spark, tmp_path, monkeypatch):
     got = decode_documents(last, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert in_order((r.doc_id, r.text) for r in got) == in_order((i, t or "") for i, t in pairs["sentencepiece"])
     assert all(r.round_trip for r in last.collect())
+
+
+def test_near_dedup_keeps_columns_no_order_is_defined_for(spark, where):
+    rows = [(1, "a b c d e f g", {"k": 1}), (1, "a b c d e f g", {"k": 2}), (2, "a b c d e f g", {"k": 3}), (3, "", {}), (3, None, None), (None, "x", None), (None, "x", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").write.parquet(where("mapped"))
+    got = corpus_pipeline.near_dedup(spark, spark.read.parquet(where("mapped")), "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, "a b c d e f g"), (3, ""), (3, None), (None, "x")])
+    assert next(r.m for r in got if r.doc_id == 1)["k"] in (1, 2)
