@@ -44,7 +44,8 @@ def op1_suffix_dedup(spark, sf_dir):
 
 @query
 def op6_minhash_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", kept)
 
 
 @query
