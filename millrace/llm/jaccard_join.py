@@ -10,13 +10,15 @@ Sets that meet are tried in two steps. First each against the least one of its k
 Only keys whose sets are still in different components go on: there, pairs of neighbouring segments are blocks, and a
 block is indexed by its two segments or, where those keep too many sets together, by the whole block and all it gives
 by leaving out one shingle. Both find any two sets that differ in at most one shingle of the block; what is cheaper
-by the counts of all sets is taken. Every pair is compared exactly before it links, after a bound that costs little:
-shingles flip bits of a word, and sets differ in at least as many shingles as their words do in bits.
+by the counts of all sets is taken. Every pair is compared exactly before it links, after bounds that cost little:
+shingles flip bits of a word, and sets differ in at least as many shingles as their words do in bits; shingles that
+no other such set has are in no intersection.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ from millrace.llm.minhash_dedup import compare, shingles
 from millrace.llm.repeats import beside, keyed
 from millrace.llm.stage import forget, texts_of, written
 
-WORD_BITS = 128
-LEAF = ["cls", "label", "n", "w0", "w1"]
+WORD_BITS = 512
+WORDS = [f"w{i}" for i in range(WORD_BITS // 64)]  # a set's word of bits folded to this length, to be compared inside a join
+LEAF = ["cls", "label", "n", "most", *WORDS]
 
 
 class Bands:
@@ -117,11 +120,11 @@ def set_rows(size: int, bands: Bands):
                 h, offsets = shingles(texts, size)
                 n = np.diff(offsets)
                 words = bit_words(h, offsets, bands)
-                folded = np.array([np.bitwise_xor.reduce(np.frombuffer(w, np.int64).reshape(-1, 2), axis=0) for w in words]).reshape(-1, 2)
+                folded = np.array([np.bitwise_xor.reduce(np.frombuffer(w, np.int64).reshape(-1, len(WORDS)), axis=0) for w in words]).reshape(-1, len(WORDS))
                 own = batch.slice(texts.first, texts.n)
                 yield pa.RecordBatch.from_arrays(
                     [own.column("doc_id"), own.column("th"), pa.array(n.astype(np.int64)), K.signed(set_hash(h, offsets)), pa.array(words, pa.binary()), *map(pa.array, folded.T.copy())],
-                    ["doc_id", "th", "n", "cls", "bits", "w0", "w1"],
+                    ["doc_id", "th", "n", "cls", "bits", *WORDS],
                 )
 
     return rows
@@ -206,7 +209,7 @@ def neighbourhoods(s: Segments, bands: Bands, as_whole: np.ndarray):
 
 def promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and words of bits allow a link."""
-    one, two = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("w0").alias(f"w0_{x}"), F.col("w1").alias(f"w1_{x}")) for x in "ab")
+    one, two = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in WORDS]) for x in "ab")
     met = pairs.join(one, "a").join(two, "b").where(may_link("a", "b", percent))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +225,31 @@ def promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(rows, "a long, b long")
 
 
+def stars(meetings: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set of a key with the one of them that meets most others over all keys, each pair once."""
+    degrees = meetings.groupBy(F.col("cls").alias("of")).agg(F.sum("size").alias("degree"))
+    ranked = written(meetings.join(degrees, F.col("cls") == F.col("of")).select("key", "cls", "degree"), "ranked")
+    centres = written(ranked.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("degree", "cls")).alias("top")).select("k", F.col("top.cls").alias("centre")), "centres")
+    met = ranked.join(centres, F.col("key") == F.col("k")).where("cls <> centre")
+    return met.groupBy(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).agg(F.lit(1)).select("a", "b")
+
+
+def gram_rows(size: int):
+    """(h, cls) of every shingle of every set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in K.slices(batch.column("text")):
+                h, offsets = shingles(texts, size)
+                own = pa.array(np.repeat(np.arange(texts.n), np.diff(offsets)) + texts.first)
+                yield pa.RecordBatch.from_arrays([K.signed(h), batch.column("cls").take(own)], ["h", "cls"])
+
+    return rows
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     n = lambda x: F.col(f"n_{x}")
-    differ = F.bit_count(F.col(f"w0_{a}").bitwiseXOR(F.col(f"w0_{b}"))) + F.bit_count(F.col(f"w1_{a}").bitwiseXOR(F.col(f"w1_{b}")))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_{a}").bitwiseXOR(F.col(f"{w}_{b}"))) for w in WORDS])
     return (F.least(n(a), n(b)) * 100 >= F.greatest(n(a), n(b)) * percent) & (differ * (100 + percent) <= (n(a) + n(b)) * (100 - percent))
 
 
@@ -251,13 +276,13 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, entry_
     d = keyed(texts_of(docs))
     longest = d.agg(F.max(F.octet_length("text"))).first()[0] or 0
     bands = Bands(percent, longest // 2 + 1)
-    every = written(d.mapInArrow(set_rows(size, bands), "doc_id long, th long, n long, cls long, bits binary, w0 long, w1 long"), "sets")
-    one = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "th", "n", "bits", "w0", "w1")).alias("one")
+    every = written(d.mapInArrow(set_rows(size, bands), f"doc_id long, th long, n long, cls long, bits binary, {', '.join(f'{w} long' for w in WORDS)}"), "sets")
+    one = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "th", "n", "bits", *WORDS)).alias("one")
     classes = written(every.where("n > 0").groupBy("cls").agg(one).select("cls", "one.*"), "classes")
     segments = d.mapInArrow(segment_rows(size, bands), "key long, cls long")
-    shared = segments.groupBy("key").agg(F.min("cls").alias("centre"), F.max("cls").alias("other")).where("centre < other")
-    shared = written(shared.select(F.col("key").alias("k"), "centre"), "shared")
-    meetings = written(segments.join(shared, F.col("key") == F.col("k")).select("key", "cls", "centre"), "meetings")
+    shared = segments.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high")
+    shared = written(shared.select(F.col("key").alias("k"), "size"), "shared")
+    meetings = written(segments.join(shared, F.col("key") == F.col("k")).select("key", "cls", "size").distinct(), "meetings")
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs that were compared and those of them that are links."""
@@ -268,25 +293,30 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, entry_
         forget(texts, likely)
         return compared, compared.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
-    compared, edges = linked(meetings.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct())
+    compared, edges = linked(stars(meetings))
     labels = components(edges)
     placed = meetings.join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     torn = written(placed.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("k"), "torn")
     leaves = placed.join(torn, F.col("key") == F.col("k")).select("cls", "label").distinct()
-    leaves = leaves.join(classes, "cls").select(*LEAF, "doc_id", "th")
-    leaves = written(beside(d, leaves, "inner").select(*LEAF, "text").dropDuplicates(["cls"]), "leaves")
+    leaves = leaves.join(classes, "cls").select("cls", "label", "n", *WORDS, "doc_id", "th")
+    leaves = written(beside(d, leaves, "inner").select("cls", "label", "n", *WORDS, "text").dropDuplicates(["cls"]), "leaves")
+    alone = leaves.select("cls", "text").mapInArrow(gram_rows(size), "h long, cls long").groupBy("h").agg(F.count("*").alias("sets"), F.max("cls").alias("cls"))
+    alone = alone.where("sets = 1").groupBy(F.col("cls").alias("of")).agg(F.count("*").alias("alone"))
+    able = leaves.join(alone, F.col("cls") == F.col("of"), "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * percent)
+    able = written(able.select(*LEAF, "text"), "able")
     kinds = f"key long, {', '.join(f'{c} long' for c in LEAF)}, band int, block int, entries long"
-    exact = leaves.mapInArrow(block_rows(size, bands, None), kinds)
+    exact = able.mapInArrow(block_rows(size, bands, None), kinds)
     chosen = allocation(exact.join(torn, F.col("key") == F.col("k")), entry_cost)
-    entries = written(leaves.mapInArrow(block_rows(size, bands, chosen), kinds).drop("band", "block", "entries"), "entries")
-    left, right = (entries.select(F.col("key").alias(f"key_{x}"), F.col("cls").alias(x), F.col("label").alias(f"l_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "w0", "w1")]) for x in "ab")
-    cross = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & may_link("a", "b", percent))
+    entries = written(able.mapInArrow(block_rows(size, bands, chosen), kinds).drop("band", "block", "entries"), "entries")
+    left, right = (entries.select(F.col("key").alias(f"key_{x}"), F.col("cls").alias(x), F.col("label").alias(f"l_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "most", *WORDS)]) for x in "ab")
+    enough = F.least("most_a", "most_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    cross = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & enough & may_link("a", "b", percent))
     seen = compared.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     fresh = cross.select("a", "b").distinct().join(seen, (F.col("a") == F.col("low")) & (F.col("b") == F.col("high")), "left_anti")
     _, more = linked(fresh)
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
-    forget(shared, meetings, torn, leaves, entries)
+    forget(shared, meetings, torn, leaves, able, entries)
     own = classes.join(labels, F.col("cls") == F.col("node"), "left").select(F.col("cls").alias("of"), F.coalesce("label", "cls").alias("component"), F.struct("no_id", "doc_id").alias("id"))
     firsts = own.groupBy(F.col("component").alias("c2")).agg(F.min("id").alias("first"))
     found = written(own.join(firsts, F.col("component") == F.col("c2")).select("of", F.col("first.doc_id").alias("first_doc")), "found")
