@@ -1,69 +1,95 @@
-"""Token ids by word: each distinct word of a worker is encoded once, texts are put together from those."""
+"""Token ids by word: a worker encodes each distinct word once and puts texts together from those."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
 
 import numpy as np
 
-MOST_WORDS = 1_000_000
+from millrace.llm import kernels as K
+
+MOST_BYTES = 64 << 20
 
 
 class Lexicon:
-    """``encode`` turns a list of words into a list of id lists. Known words are forgotten once there are too many."""
+    """Ids of words known by their hashes, in arrays of at most about ``most_bytes``.
 
-    def __init__(self, encode: Callable[[list], list]):
-        self.encode = encode
-        self.clear()
+    ``encode`` turns a list of words (bytes) into a list of id lists. Once the arrays are full, the words that were
+    met less often than the others are forgotten; they are encoded again if they come back.
+    """
 
-    def clear(self) -> None:
-        self.index: dict = {}
-        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
-        self.size = 0
+    def __init__(self, encode: Callable[[list[bytes]], list], most_bytes: int = MOST_BYTES):
+        self.encode, self.most_bytes = encode, most_bytes
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes
+        self.starts, self.lengths, self.uses = (np.zeros(0, np.int32) for _ in range(3))  # in the order of the keys
+        self.flat, self.size = np.zeros(1 << 16, np.int32), 0
 
-    def add(self, new: list) -> None:
-        ids = self.encode(new)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.index), int(lengths.sum())
-        self.index.update(zip(new, range(first, first + len(new))))
-        self.starts, self.lengths = (with_room(x, len(self.index)) for x in (self.starts, self.lengths))
-        self.flat = with_room(self.flat, self.size + total)
-        self.starts[first : len(self.index)] = self.size + np.cumsum(lengths) - lengths
-        self.lengths[first : len(self.index)] = lengths
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashes stand or belong, and whether they are known."""
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(at), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        return at, known
+
+    def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Encode words whose hashes, sorted, are not known yet."""
+        ids = self.encode(words)
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(lengths.sum())
+        if 20 * (len(self.keys) + len(words)) + 4 * (self.size + total) > self.most_bytes:
+            self.forget()
+        if self.size + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.size], np.zeros(total + self.size // 2, np.int32)])
         self.flat[self.size : self.size + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        at = np.searchsorted(self.keys, hashes)
+        starts = self.size + np.cumsum(lengths, dtype=np.int32) - lengths
         self.size += total
+        self.keys, self.starts, self.lengths, self.uses = (
+            np.insert(old, at, new) for old, new in ((self.keys, hashes), (self.starts, starts), (self.lengths, lengths), (self.uses, np.zeros(len(at), np.int32)))
+        )
 
-    def places(self, words: list) -> np.ndarray:
-        """The number of each word in this lexicon."""
-        if len(self.index) > MOST_WORDS:
-            self.clear()
-        get = self.index.get
-        found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        missing = [words[i] for i in np.flatnonzero(found < 0).tolist()]
-        if missing:
-            self.add(list(dict.fromkeys(missing)))
-            found[found < 0] = [get(w) for w in missing]
-        return found
-
-    def ids(self, words: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and the offsets of texts that have ``counts`` words each."""
-        at = self.places(words)
-        flat = gathered(self.flat, self.starts[at], self.lengths[at])
-        ends = np.r_[0, np.cumsum(self.lengths[at])]
-        return flat, ends[np.r_[0, np.cumsum(counts)]]
-
-
-def with_room(values: np.ndarray, size: int) -> np.ndarray:
-    """The array, or a copy of twice the size or more if ``size`` does not fit."""
-    if size <= len(values):
-        return values
-    out = np.zeros(max(size, 2 * len(values)), values.dtype)
-    out[: len(values)] = values
-    return out
+    def forget(self) -> None:
+        """Keep the half of the words that is met more often."""
+        if not len(self.keys):
+            return
+        half = len(self.keys) // 2
+        kept = np.sort(np.argpartition(self.uses, half)[half:])
+        flat = gathered(self.flat, self.starts[kept], self.lengths[kept])
+        self.keys, self.lengths, self.uses = self.keys[kept], self.lengths[kept], self.uses[kept] // 2
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
+        self.flat, self.size = flat, len(flat)
+
+    def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``data[start:end]`` in a row, and the offsets of texts whose words begin at ``offsets``."""
+        distinct, first, inverse = np.unique(K.run_hash(data, start, end), return_index=True, return_inverse=True)
+        _, known = self.find(distinct)
+        new = first[~known]
+        if len(new):
+            self.add(distinct[~known], [data[s:e].tobytes() for s, e in zip(start[new].tolist(), end[new].tolist())])
+        at, known = self.find(distinct)
+        if not known.all():  # what ``forget`` dropped to make room
+            again = first[~known]
+            self.add(distinct[~known], [data[s:e].tobytes() for s, e in zip(start[again].tolist(), end[again].tolist())])
+            at, known = self.find(distinct)
+            if not known.all():
+                return self.apart(data, start, end, offsets)
+        self.uses[at] = np.minimum(self.uses[at] + np.bincount(inverse, minlength=len(at)), 1 << 30)
+        at = at[inverse]
+        return gathered(self.flat, self.starts[at], self.lengths[at]), np.r_[0, np.cumsum(self.lengths[at], dtype=np.int64)][offsets]
+
+    def apart(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where the distinct words of one slice don't fit: they are encoded without being kept."""
+        ids = self.encode([data[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), np.r_[0, np.cumsum(lengths)][offsets]
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that begin at ``starts``, one after the other."""
+    lengths = lengths.astype(np.int64)
     before = np.cumsum(lengths) - lengths
     return values[np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)]

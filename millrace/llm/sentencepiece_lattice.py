@@ -24,7 +24,7 @@ from millrace.llm.stage import texts_of
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 UNKNOWN, NONE = -2, -1
-SLOTS = 1 << 20
+SLOTS = 1 << 22  # 9 bytes each
 PRESENT_SHIFT = np.uint64(44)
 _code = np.random.default_rng(99).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _models: dict = {}
@@ -76,7 +76,6 @@ class Model:
         self.present = np.zeros(1 << 20, bool)  # leading bits of the keys: tells most other substrings before a search
         self.present[self.keys >> PRESENT_SHIFT] = True
         self.ranks, self.histories = self.scores.tolist(), {}
-        self.apart: dict[tuple[int, int], bool] = {}
         self.slot_keys, self.slot_apart = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)  # the pairs met last, by hash
 
     @staticmethod
@@ -135,17 +134,11 @@ class Model:
         if len(new):
             distinct, first, inverse = np.unique(key[new], return_index=True, return_inverse=True)
             first = new[first]
-            found = np.array([self.pair_apart(a, b) for a, b in zip(left[first].tolist(), right[first].tolist())])
+            found = np.array([self.never_joined(a, b) for a, b in zip(left[first].tolist(), right[first].tolist())])
             out[new] = found[inverse]
             self.slot_keys[slot[first]], self.slot_apart[slot[first]] = distinct, found
         return out
 
-    def pair_apart(self, left: int, right: int) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            known = self.apart[left, right] = self.never_joined(left, right)
-        return known
-
     def never_joined(self, left: int, right: int) -> bool:
         """Follow the merges on both sides of the border, best first, until one across it would be due."""
         theirs = self.history(right)
@@ -178,8 +171,6 @@ class Model:
                 own = rows[a : a + step]
                 for i, ids in zip(own, self.paths([units[i] for i in own], length)):
                     out[i] = ids
-        if len(self.apart) > 2_000_000:
-            self.apart.clear()
         return out
 
     def paths(self, units: list[str], length: int) -> Iterator[list[int]]:
@@ -253,10 +244,24 @@ def units_of(text: str) -> list[str]:
     return UNIT.findall(SPACE + text)
 
 
+def unit_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, a space before each, where their units start and end, and where each text's units begin."""
+    data = np.frombuffer(b"".join(b" " + t for t in texts if t), np.uint8)
+    first = np.r_[0, np.cumsum([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[first] = True
+    space = data == 32
+    before = np.empty(len(data), bool)
+    before[:1] = False
+    before[1:] = space[:-1]
+    start = np.flatnonzero(space & (~before | edge[:-1]))
+    return data, start, np.r_[start[1:], len(data)][: len(start)], np.searchsorted(start, first)
+
+
 def model_of(path: str) -> tuple[Model, Lexicon]:
     if path not in _models:
         own = Model(path)
-        _models[path] = own, Lexicon(own.encode)
+        _models[path] = own, Lexicon(lambda units: own.encode([u.decode("utf-8", "replace").replace(" ", SPACE) for u in units]))
     return _models[path]
 
 
@@ -273,14 +278,8 @@ def id_rows(path: str):
         own, words = model_of(path)
         for batch in batches:
             for texts in K.slices(batch.column("text")):
-                units, counts, want = [], [], []
-                for i in range(texts.n):
-                    raw = texts.raw(i)
-                    want.append(raw.replace(SPACE.encode(), b" "))
-                    split = units_of(raw.decode("utf-8", "replace"))
-                    units += split
-                    counts.append(len(split))
-                flat, offsets = words.ids(units, np.array(counts))
+                want = [texts.raw(i).replace(SPACE.encode(), b" ") for i in range(texts.n)]
+                flat, offsets = words.ids(*unit_spans(want))
                 back = decode(own, flat, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,7 +27,7 @@ from millrace.session import local_frame
 
 NO_ID = np.iinfo(np.int64).min
 SHARD = "shard int, name string, n_docs long, n_tokens long"
-_lexicons: dict[str, Lexicon] = {}
+_lexicons: dict = {}
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -37,21 +36,30 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
 
 
-def lexicon(tokenizer: str) -> Lexicon:
-    """Words of a tokenizer whose pre-tokenizer never crosses white space, so words can be encoded apart."""
+def lexicon(tokenizer: str) -> tuple[PartEncoder, Lexicon]:
+    """The parts of a tokenizer whose pre-tokenizer never crosses white space, so words can be encoded apart."""
     if tokenizer not in _lexicons:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _lexicons[tokenizer] = Lexicon(WordEncoder(Tokenizer.from_file(tokenizer)))
+        own = PartEncoder(Tokenizer.from_file(tokenizer))
+        _lexicons[tokenizer] = own, Lexicon(own)
     return _lexicons[tokenizer]
 
 
-class WordEncoder:
-    """Encodes distinct words, many in one call where their ids can be told apart.
+# Fixed value: the pre-tokenizer pattern whose parts ``PartEncoder.spans`` finds, and the normaliser it goes with.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LOWERS = ["NFC", "Replace", "Lowercase"]
+LETTER, DIGIT, SIGN, ODD = 1, 2, 3, 4
 
-    The pre-tokenizer's pattern gives the number of parts of a word, and the last id of each part is one of the
-    vocabulary's word ends. Words outside Latin letters, or that might hold a special token, are encoded one by one.
+
+class PartEncoder:
+    """Finds the parts of words and encodes distinct ones, many in one call of the library.
+
+    Words of Latin letters (to U+024F), digits and signs are cut into runs of letters, single digits and runs of
+    signs, and lower-cased, so "Word" and "word," share a part. Each part ends in one of the vocabulary's word ends,
+    which tells the ids of a call apart. Words with an apostrophe, other characters, or one that a special token
+    begins with stay whole and are encoded one by one; so are all words of a tokenizer with other rules.
     """
 
     CHUNK = 500
@@ -59,42 +67,54 @@ class WordEncoder:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         own = json.loads(tokenizer.to_str())
-        suffix, patterns = own["model"].get("end_of_word_suffix"), re.findall(r'"Regex": "((?:[^"\\]|\\.)*)"', json.dumps(own["pre_tokenizer"]))
-        self.pattern = regex.compile(json.loads(f'"{patterns[0]}"')) if suffix and len(patterns) == 1 else None
-        self.run_of_letters = self.pattern is not None and "[\\p{L}]+" in self.pattern.pattern
+        patterns = re.findall(r'"Regex": ("(?:[^"\\]|\\.)*")', json.dumps(own["pre_tokenizer"]))
+        suffix, steps = own["model"].get("end_of_word_suffix"), [n["type"] for n in (own["normalizer"] or {}).get("normalizers", [])]
+        self.cuts = bool(suffix) and [json.loads(p) for p in patterns] == [PATTERN] and steps == LOWERS
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
-        if suffix:
-            self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
-        special = {t["content"][:1] for t in own["added_tokens"] if t["content"]}
-        self.odd = re.compile(f"[{''.join(map(re.escape, sorted(special)))}\u0250-\U0010ffff]")
-
-    def parts(self, texts: list[str]) -> np.ndarray:
-        """The number of parts of each text."""
-        out = np.ones(len(texts), np.int64)
-        mixed = [i for i, t in enumerate(texts) if not (t.isalpha() and t.isascii())] if self.run_of_letters else range(len(texts))
-        findall = self.pattern.findall
-        for i in mixed:
-            out[i] = len(findall(texts[i].lower()))
-        return out
-
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        texts = [w.decode("utf-8", "replace") for w in words]
+        self.ends[[i for piece, i in tokenizer.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
+        kind = np.full(256, ODD, np.uint8)
+        kind[0x21:0x7F] = SIGN
+        kind[list(range(65, 91)) + list(range(97, 123)) + list(range(0x80, 0xC0)) + list(range(0xC3, 0xCA))] = LETTER
+        kind[48:58] = DIGIT
+        kind[[ord("'"), *{t["content"].encode()[0] for t in own["added_tokens"] if t["content"]}]] = ODD
+        self.kind = kind
+
+    def spans(self, texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, and where parts start and end in them; and where those of each text begin."""
+        words, data = K.Words(texts), texts.data
+        if not self.cuts or not len(words.start):
+            return data, words.start, words.end, words.offsets
+        kind, before = self.kind[data], np.r_[np.uint8(0), data[:-1]]
+        odd = kind == ODD
+        odd |= (before == 0xC3) & ((data == 0x97) | (data == 0xB7)) | (before == 0xC4) & (data == 0xB0) | (before == 0xC9) & (data >= 0x90)
+        seen = np.r_[0, np.cumsum(odd)]
+        plain = seen[words.end] == seen[words.start]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[words.start[plain]] += 1
+        inside[words.end[plain]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        first = np.zeros(len(data), bool)
+        first[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        first[words.start] = True
+        start = np.flatnonzero(first)
+        end = np.minimum(np.r_[start[1:], len(data)], words.end[np.searchsorted(words.start, start, "right") - 1])
+        return np.where(inside, K.LOWER[data], data), start, end, np.searchsorted(start, texts.offsets)
+
+    def __call__(self, parts: list[bytes]) -> list[list[int]]:
+        texts = [p.decode("utf-8", "replace") for p in parts]
         out: list = [None] * len(texts)
-        plain = []
-        if self.pattern is not None:
-            odd = self.odd.search
-            plain = [i for i, t in enumerate(texts) if odd(t) is None]
-        for a in range(0, len(plain), self.CHUNK):
-            rows = plain[a : a + self.CHUNK]
-            own = [texts[i] for i in rows]
-            parts = self.parts(own)
-            ids = self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != parts.sum() or (len(ids) and last[-1] != len(ids)):
-                continue
-            ends = np.r_[0, last][np.cumsum(parts)].tolist()
-            for i, start, end in zip(rows, [0, *ends], ends):
-                out[i] = ids[start:end]
+        if self.cuts:
+            joined = np.frombuffer(b"".join(parts), np.uint8)
+            odd = np.r_[0, np.cumsum((self.kind[joined] == ODD) | (joined == 0xB0) | (joined == 0x97) | (joined == 0xB7) | (joined == 0xC9))]
+            ends = np.cumsum([len(p) for p in parts])
+            plain = np.flatnonzero(odd[ends] == odd[np.r_[0, ends[:-1]]]).tolist()
+            for a in range(0, len(plain), self.CHUNK):
+                own = plain[a : a + self.CHUNK]
+                ids = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in own])], add_special_tokens=False)[0].ids
+                last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(last) == len(own) and last[-1] == len(ids):
+                    for i, s, e in zip(own, [0, *last], last):
+                        out[i] = ids[s:e]
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
             out[i] = e.ids
@@ -106,7 +126,7 @@ def shard_rows(tokenizer: str, end_id: int, kind: str, folder: str):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        shard, own = task.partitionId(), lexicon(tokenizer)
+        shard, (encoder, own) = task.partitionId(), lexicon(tokenizer)
         name = f"shard-{shard:06d}-{task.taskAttemptId()}"
         files, path = opened(folder)
         n_docs = n_tokens = 0
@@ -117,12 +137,7 @@ def shard_rows(tokenizer: str, end_id: int, kind: str, folder: str):
                 streams["off"].write(np.zeros(1, "<i8").tobytes())
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8")
             for texts in K.slices(batch.column("text")):
-                words, counts = [], []
-                for i in range(texts.n):
-                    split = texts.raw(i).split()
-                    words += split
-                    counts.append(len(split))
-                flat, offsets = own.ids(words, np.array(counts))
+                flat, offsets = own.ids(*encoder.spans(texts))
                 flat = np.insert(flat, offsets[1:], end_id)
                 ends = offsets[1:] + np.arange(1, texts.n + 1)
                 streams["bin"].write(flat.astype(kind).tobytes())
@@ -153,7 +168,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     kind = "<u2" if size <= 1 << 16 else "<u4"
     files, path = opened(folder)
     files.create_dir(path, recursive=True)
-    ordered = d.repartitionByRange(parts(spark, text_bytes(d), shard_bytes), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = d.repartitionByRange(parts(spark, text_bytes(d), shard_bytes), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = written(ordered.mapInArrow(shard_rows(tokenizer, end_id, kind, folder), SHARD), "shards").orderBy("shard").collect()  # a row for each shard
     base, shards = 0, []
     for row in done:

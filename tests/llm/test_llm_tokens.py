@@ -66,3 +66,48 @@ def test_odd_texts_round_trip(spark):
     texts = decode_documents(tokens, PIECES).orderBy("doc_id").collect()
     assert [r.text for r in texts] == [(t or "").replace("▁", " ") for t in ODD]
     assert encode_documents(frame(spark, []), PIECES).collect() == []
+
+
+def test_a_small_lexicon_forgets_and_still_gives_the_same_ids():
+    from millrace.llm import kernels as K
+    from millrace.llm.lexicon import Lexicon
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for most in (0, 2000, 20_000, 1 << 26):
+        own = Lexicon(lambda ws: [[int(w[1:]), len(w)] for w in ws], most)
+        for _ in range(30):
+            numbers = [[int(rng.paretovariate(0.5)) % 3000 for _ in range(rng.randrange(60))] for _ in range(9)]
+            texts = next(K.slices(pa.array([" ".join(f"w{i}" for i in row) for row in numbers])))
+            w = K.Words(texts)
+            flat, offsets = own.ids(texts.data, w.start, w.end, w.offsets)
+            got = [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+            assert got == [[x for i in row for x in (i, len(str(i)) + 1)] for row in numbers]
+        assert 20 * len(own) <= max(most, 20 * 600)
+
+
+def test_rows_without_id_fill_several_shards(spark, where):
+    texts = [f"text {i} of many" for i in range(3000)]
+    docs = frame(spark, texts, [None if i % 3 == 0 else i for i in range(3000)])
+    manifest = write_token_files(docs, where("null_ids"), WORDS, 2, shard_bytes=10_000)
+    sizes = sorted(s["n_docs"] for s in manifest["shards"])
+    assert len(sizes) > 3 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+    got = read_token_files(spark, where("null_ids")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 1000 + [i for i in range(3000) if i % 3]
+
+
+def test_parts_of_mixed_words_against_the_library():
+    import pyarrow as pa
+
+    from millrace.llm import kernels as K
+    from millrace.llm.token_files import lexicon
+
+    rng = random.Random(7)
+    own, (encoder, words) = Tokenizer.from_file(WORDS), lexicon(WORDS)
+    alphabet = list("aaeinrst  \t.,-!#&%(<|>'s'tAZ019éÉñßŐɏɐ²½«×÷ªİıſ日̈\x01\x1c\x7f") + ["<|endoftext|>", "'re", "don't"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for t in K.slices(pa.array(texts)):
+        flat, offsets = words.ids(*encoder.spans(t))
+        for i in range(t.n):
+            assert flat[offsets[i] : offsets[i + 1]].tolist() == own.encode(texts[t.first + i], add_special_tokens=False).ids, repr(texts[t.first + i])
