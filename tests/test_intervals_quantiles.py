@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.errors import SpecError
 from millrace.operators import exact_quantiles, interval_join
 from millrace.operators.intervals import cover
+from workload.relational import sql_join_range_outer
 
 
 def test_covers_are_few_blocks_and_hold_each_point_once(spark):
@@ -69,6 +70,81 @@ def test_dates_timestamps_and_refusals(spark):
             bad()
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("by", [["rid"], ["g", "rid"]])
+def test_totals_of_the_joined_rows_by_columns_of_the_ranges(spark, how, by):
+    rng = random.Random(how)
+    points = [(rng.choice(["a", "b", None]), rng.choice([None, *range(50)]), rng.choice([None, rng.randrange(-60, 60)])) for _ in range(70)]
+    ranges = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(9)]), rng.choice([None, rng.randrange(-60, 60)]), rng.choice([None, rng.randrange(-60, 60)])) for _ in range(40)]
+    left, right = spark.createDataFrame(points, "g string, id long, at int"), spark.createDataFrame(ranges, "g string, rid long, low long, high int")
+    totals = {"n": ("count", "id"), "ids": ("sum", "id"), "least": ("min", "id"), "last": ("max", "at")}
+    met = defaultdict(list)
+    for g, i, at, rid, *_ in brute(points, ranges, how):
+        met[(g, rid) if len(by) == 2 else (rid,)].append((i, at))
+    some = lambda f, values: f(values) if (values := [v for v in values if v is not None]) else None
+    want = [(*k, len([i for i, _ in v if i is not None]), some(sum, [i for i, _ in v]), some(min, [i for i, _ in v]), some(max, [at for _, at in v])) for k, v in met.items()]
+    got = interval_join(left, right, "at", "low", "high", how, on=["g"], by=by, totals=totals)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == sorted(want, key=repr)
+    for one, other in ((left.limit(0), right), (left, right.limit(0))):
+        plain = interval_join(one, other, "at", "low", "high", how, on=["g"]).groupBy(*by).agg(F.count("id").alias("n"), F.sum("id").alias("ids"), F.min("id").alias("least"), F.max("at").alias("last"))
+        assert sorted(map(repr, interval_join(one, other, "at", "low", "high", how, on=["g"], by=by, totals=totals).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_totals_refused(spark):
+    left, right = spark.createDataFrame([(1, 2)], "id long, at int"), spark.createDataFrame([(1, 1, 3)], "rid long, low int, high int")
+    n = {"n": ("count", "id")}
+    for how, by, totals in (("left_semi", ["rid"], n), ("inner", [], n), ("inner", ["id"], n), ("inner", ["rid"], None), ("inner", ["rid"], {"n": ("first", "id")}), ("inner", ["rid"], {"n": ("count", "rid")})):
+        with pytest.raises(SpecError):
+            interval_join(left, right, "at", "low", "high", how, by=by, totals=totals)
+
+
+def shuffled(df):
+    """Rows that a run of ``df`` writes to shuffles."""
+    df.collect()
+
+    def rows(node):
+        inner = [node.executedPlan()] if "AdaptiveSparkPlanExec" in node.getClass().getName() else [node.plan()] if "QueryStageExec" in node.getClass().getName() else []
+        inner += [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().apply("shuffleRecordsWritten").value() if "ShuffleExchangeExec" in node.getClass().getName() else 0
+        return own + sum(map(rows, inner))
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture
+def sorted_joins(spark):
+    """Joins as of tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_points_of_few_places_are_not_shuffled_in_pairs(spark, sorted_joins):
+    left = spark.range(2000).select("id", (F.col("id") % 3).alias("at"))
+    right = spark.range(200).select(F.col("id").alias("rid"), F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    met = interval_join(left, right, "at", "low", "high", "full")
+    assert met.count() == 400_000 > 10 * shuffled(met)
+
+
+def test_orders_in_ranges_are_counted_without_their_pairs(spark, sorted_joins, tmp_path):
+    n, m, start = 3000, 400, date(1992, 1, 1)
+    days = [start + timedelta(days=i * 13 % 2600) for i in range(n)]
+    spark.createDataFrame([(i, datetime(d.year, d.month, d.day, i % 24)) for i, d in enumerate(days)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(m).select((F.col("id") * 50).alias("s_suppkey")).union(spark.range(7).select(F.col("id") + 1)).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = sql_join_range_outer(spark, str(tmp_path))
+    want, hit = {}, set()
+    for k in [i * 50 for i in range(m)] + [i + 1 for i in range(7)]:
+        low = start + timedelta(days=k * 37 % 2400)
+        high = low + timedelta(days=k % 20) if k % 50 else date.max
+        own = [i for i, d in enumerate(days) if low <= d < high]
+        hit |= set(own)
+        want[k] = (k, len(own), min(own, default=None), max(own, default=None))
+    alone = [i for i in range(n) if i not in hit]
+    want = [*want.values(), *([(None, len(alone), min(alone), max(alone))] if alone else [])]
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == sorted(want, key=repr)
+    assert sum(r[1] for r in want) > 5 * shuffled(got)
+
+
 @pytest.mark.parametrize("bins, limit", [(4, 3), (4096, 10_000)])
 def test_quantiles_of_uneven_groups(spark, bins, limit):
     rng = random.Random(4)

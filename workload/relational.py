@@ -561,8 +561,8 @@ def sql_join_range_outer(spark, sf):
         "date_add(DATE'1992-01-01', CAST(s_suppkey * 37 % 2400 AS INTEGER)) AS low",
         "CASE WHEN s_suppkey % 50 > 0 THEN date_add(DATE'1992-01-01', CAST(s_suppkey * 37 % 2400 + s_suppkey % 20 AS INTEGER)) END AS high",
     )
-    met = interval_join(orders, ranges, "day", "low", "high", "full")
-    return met.groupBy("s_suppkey").agg(F.count("o_orderkey").alias("orders"), F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
+    totals = {"orders": ("count", "o_orderkey"), "first_order": ("min", "o_orderkey"), "last_order": ("max", "o_orderkey")}
+    return interval_join(orders, ranges, "day", "low", "high", "full", by=["s_suppkey"], totals=totals)
 
 
 @query(
